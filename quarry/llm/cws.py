@@ -9,43 +9,73 @@ weight is how often they occur.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 64
+SAMPLES = 48
+#: Quantiles of Gamma(2,1) from which r is drawn.
+R_LEVELS = 4096
 #: Text characters that a range of neighbouring documents aims at, and the most ranges.
 RANGE_CHARS = 4_000_000
 MAX_RANGES = 10_000
 _LEAST = -(1 << 63)
-_MASK = (1 << 64) - 1
+#: Hashes computed side by side; SAMPLES is a multiple.
+LANE = 4
+
 
+def gamma_quantiles(levels: int) -> list[float]:
+    """Quantiles of Gamma(2,1) at the middles of `levels` equal probabilities, by bisection."""
+    out = []
+    for i in range(levels):
+        p, lo, hi = (i + 0.5) / levels, 0.0, 50.0
+        for _ in range(50):
+            x = (lo + hi) / 2
+            lo, hi = (x, hi) if 1 - (1 + x) * math.exp(-x) < p else (lo, x)
+        out.append(lo)
+    return out
 
-def _seed(k: int) -> int:
-    """A 64-bit constant for hash k (splitmix64 of k+1), signed."""
-    z = (k + 1) * 0x9E3779B97F4A7C15 & _MASK
-    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & _MASK
-    z = (z ^ z >> 27) * 0x94D049BB133111EB & _MASK
-    z ^= z >> 31
-    return z - (1 << 64) if z >> 63 else z
 
+def gamma_sql(x: str) -> str:
+    """A Gamma(2,1) variate: minus the logarithm of the product of two uniform numbers of 24 bits each."""
+    u, v = f"(({x} & 16777215) + 0.5D)", f"((shiftrightunsigned({x}, 24) & 16777215) + 0.5D)"
+    return f"-ln({u} * {v} * {2.0**-48!r}D)"
 
-def _bits(h: Column, at: int, n: int) -> Column:
-    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1))
 
+def _sampled(counted: DataFrame, keys: list[str], n_texts: int, samples: int) -> DataFrame:
+    """`keys`, `j` and the least values s<text>_<i> of hashes j * LANE + i over a row's terms.
 
-def sample_of(term: Column, ln_weight: Column, k: int) -> Column:
-    """Orders like a in its high half and names (term, t) in its low half: the least is the sample."""
-    g = F.xxhash64(term.bitwiseXOR(F.lit(_seed(2 * k))))
-    h = F.xxhash64(term.bitwiseXOR(F.lit(_seed(2 * k + 1))))
-    unit = 1.0 / (1 << 24)
-    # A Gamma(2,1) variate is minus the logarithm of a product of two uniform ones.
-    r = -F.ln((_bits(g, 0, 24) + 0.5) * unit * ((_bits(g, 24, 24) + 0.5) * unit))
-    c = -F.ln((_bits(h, 0, 24) + 0.5) * unit * ((_bits(h, 24, 24) + 0.5) * unit))
-    b = (_bits(h, 48, 16) + 0.5) * (1.0 / (1 << 16))
-    t = F.floor(ln_weight / r + b)
-    ln_a = F.ln(c) - r * (t - b + 1.0)
-    name = F.xxhash64(h + t).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(((ln_a + 512.0) * float(1 << 21)).cast("bigint"), 32).bitwiseOR(name)
+    A value orders like a in its high half and names (term, t) in its low half.  Terms are
+    repeated for every lane of hashes, so the generated code stays small enough to compile
+    well; each variate is a column of its own and computed once.
+    """
+    lane = range(LANE)
+    table = "cast(split('" + ",".join(map(repr, gamma_quantiles(R_LEVELS))) + "', ',') as array<double>)"
+    logs = [f"l{i}" for i in range(n_texts)]
+    rows = counted.selectExpr(*keys, "term", *[f"ln(w{i}) AS l{i}" for i in range(n_texts)])
+    rows = rows.selectExpr(*keys, "term", *logs, f"explode(sequence(0, {samples // LANE - 1})) AS j")
+    rows = rows.selectExpr(
+        *keys, "j", *logs, *[f"xxhash64(term, j * {2 * LANE} + {i}) AS {'gh'[i // LANE]}{i % LANE}" for i in range(2 * LANE)]
+    )
+    rows = rows.selectExpr(
+        *keys,
+        "j",
+        *logs,
+        *[f"h{i}" for i in lane],
+        *[f"get({table}, cast(g{i} & {R_LEVELS - 1} as int)) AS r{i}" for i in lane],
+        *[f"ln({gamma_sql(f'h{i}')}) AS c{i}" for i in lane],
+        *[f"((shiftrightunsigned(h{i}, 48) + 0.5D) * {2.0**-16!r}D) AS b{i}" for i in lane],
+    )
+    each = [(x, i) for i in lane for x in range(n_texts)]
+    rows = rows.selectExpr(
+        *keys,
+        "j",
+        *[f"{v}{i}" for i in lane for v in "hrcb"],
+        *[f"floor(l{x} / r{i} + b{i}) AS t{x}_{i}" for x, i in each],
+    )
+    value = "shiftleft(cast((c{i} - r{i} * (t{x}_{i} - b{i} + 1.0D) + 512.0D) * 2097152.0D as bigint), 32) | (xxhash64(h{i} + t{x}_{i}) & 4294967295)"
+    return rows.groupBy(*keys, "j").agg(*[F.expr(f"min({value.format(x=x, i=i)})").alias(f"s{x}_{i}") for x, i in each])
 
 
 def words(text: Column) -> Column:
@@ -78,24 +108,22 @@ def fingerprint_texts(texts: DataFrame, keys: list[str], columns: list[str], sam
     counted = terms.groupBy(*keys, "term").agg(
         *[F.sum((F.col("which") == i).cast("bigint")).alias(f"w{i}") for i in range(len(columns))]
     )
-    # ln 0 is null, so a term that a text does not have gives it no sample.
-    logged = counted.select(*keys, "term", *[F.ln(F.col(f"w{i}")).alias(f"l{i}") for i in range(len(columns))])
-    least = logged.groupBy(*keys).agg(
-        *[
-            F.min(sample_of(F.col("term"), F.col(f"l{i}"), k)).alias(f"s{i}_{k}")
-            for k in range(samples)
-            for i in range(len(columns))
-        ]
-    )
-    return least.select(
-        *keys,
-        *[
-            F.array(
-                *[F.coalesce(F.col(f"s{i}_{k}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF)) for k in range(samples)]
-            ).alias(c)
-            for i, c in enumerate(columns)
-        ],
+    # The logarithm of no occurrence is null, so a term that a text does not have gives it no sample.
+    least = _sampled(counted, keys, len(columns), samples)
+    lanes = least.groupBy(*keys).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "j",
+                    *[
+                        F.expr("array(" + ",".join(f"coalesce(s{x}_{i}, 0) & 65535" for i in range(LANE)) + ")").alias(c)
+                        for x, c in enumerate(columns)
+                    ],
+                )
+            )
+        ).alias("lanes")
     )
+    return lanes.select(*keys, *[F.flatten(F.col(f"lanes.{c}")).alias(c) for c in columns])
 
 
 def as_text(samples: Column) -> Column:
