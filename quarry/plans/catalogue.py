@@ -364,14 +364,14 @@ _COSINE = """1 - list_sum(list_transform(list_zip(a, b), lambda x: CAST(x[1] AS
  * sqrt(list_sum(list_transform(b, lambda x: CAST(x AS DOUBLE) * x))))"""
 
 
-@query(f"""WITH p AS (SELECT e.vec_id, s.vec_id AS seed, round({_COSINE}, 6) AS distance FROM (SELECT vec_id, embedding AS a FROM embeddings) e
+@query(f"""WITH p AS (SELECT e.vec_id, s.vec_id AS seed, round({_COSINE}, 6) + 0.0 AS distance FROM (SELECT vec_id, embedding AS a FROM embeddings) e
  CROSS JOIN (SELECT vec_id, embedding AS b FROM embeddings WHERE vec_id < 10) s)
 SELECT vec_id, min(distance) AS distance FROM p GROUP BY vec_id""")
 def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     seeds = vectors.filter("vec_id < 10").select(F.col("vec_id").alias("seed_id"), "embedding")
     found = retrieval.nearest_seed(vectors, seeds, "vec_id", "embedding", "seed_id")
-    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+    return found.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query()
