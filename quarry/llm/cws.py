@@ -231,7 +231,9 @@ def edited_fingerprints(
     about = rows.select(
         "part", "pos", "doc_id", "lent", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     )
-    prints = fingerprint_texts(rows.select("part", "pos", "text", "edited"), ["part", "pos"], ["text", "edited"], samples)
+    # Both branches read the same columns of the dealt-out rows, so they share its one shuffle.
+    keys = ["part", "pos", "doc_id", "lent"]
+    prints = fingerprint_texts(rows.select(*keys, "text", "edited"), keys, ["text", "edited"], samples).drop("doc_id", "lent")
     order = Window.partitionBy("part").orderBy("pos")
     joined = about.join(prints, ["part", "pos"]).withColumn("next", F.lead("text").over(order))
     return joined.filter("lent = 0").select(
