@@ -29,6 +29,8 @@ from quarry.storage import materialize
 BITS = 64
 #: Fingerprints compared directly in one bucket; larger buckets are covered again.
 BUCKET_LIMIT = 1024
+#: Shared buckets up to this many are handed to every task; more are joined by a shuffle.
+BROADCAST_BUCKETS = 500_000
 #: Shingles unpacked to bits at once, so one endless text stays within bounded memory.
 CHUNK = 1 << 16
 
@@ -70,16 +72,32 @@ def check_words(text: bytes, width: int) -> list[int]:
     return majority(text, width, xxhash.xxh3_128_digest, 2 * BITS)
 
 
+#: Shorter words say little about a text: with them, unrelated texts share buckets.
+WORD_BYTES = 4
+
+
+def longer_words(text: bytes) -> bytes:
+    """The words of at least `WORD_BYTES` bytes, or all words where none is that long."""
+    words = text.split()
+    return b" ".join([w for w in words if len(w) >= WORD_BYTES] or words)
+
+
 def fingerprints(
     docs: DataFrame, width: int, check_width: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, fp[, c0, c1]) of every row of `docs`; a null text counts as empty and gets zeros."""
+    """(id, fp[, c0, c1]) of every row of `docs`; a null text counts as empty and gets zeros.
+
+    With check words, `fp` is made of the longer words only and the check words of all.
+    """
     names = ["fp", *(["c0", "c1"] if check_width else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            rows = [[fingerprint(t, width), *(check_words(t, check_width) if check_width else [])] for t in texts]
+            if check_width:
+                rows = [[fingerprint(longer_words(t), width), *check_words(t, check_width)] for t in texts]
+            else:
+                rows = [[fingerprint(t, width)] for t in texts]
             arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *names])
 
@@ -190,7 +208,8 @@ def near_links(distinct: DataFrame, rule: Rule, limit: int = BUCKET_LIMIT, level
         sizes = materialize(
             keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets"
         )
-        small = keyed.join(sizes.filter(F.col("n") <= limit), ["path", "key"])
+        shared = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
+        small = keyed.join(shared.filter(F.col("n") <= limit), ["path", "key"])
         found.append(_link_buckets(small.groupBy("path", "key").agg(members), rule).distinct())
         large = sizes.filter(F.col("n") > limit)
         if large.isEmpty():
@@ -243,13 +262,13 @@ def near_duplicates(
 
 #: Near copies are found by words and confirmed by five-word shingles: 24 of 128 bits is a
 #: similarity of about 0.8 (at 0.8 the expected difference is 19 bits).
-WORDS_RULE = Rule(radius=4, check=24)
+WORDS_RULE = Rule(radius=5, check=24)
 
 
 def keep_one(docs: DataFrame, rule: Rule = WORDS_RULE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near copies, the one with the smallest id.
 
-    Candidates are SimHashes of single words within `rule.radius` bits, found by covering
+    Candidates are SimHashes of single longer words within `rule.radius` bits, found by covering
     masks; a link holds if 128 SimHash bits of five-word shingles differ in at most
     `rule.check`.  Texts without words are one group.  Of rows that share the smallest id
     one stays, the first by a hash of its text; null ids stay only where a group has no other.
