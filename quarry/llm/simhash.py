@@ -7,8 +7,10 @@ is orthogonal to them all: its mask drops every differing bit, and the pair shar
 in that table.  There are no false negatives within the radius (Pagh, 2016).
 
 Buckets are never expanded into pairs.  A bucket of bounded size is linked by a spanning
-forest; a larger one is covered again over the bits its mask left free, which bounds the
-number of different fingerprints in a bucket by a power of two of the bits still free.
+forest.  In a larger one each fingerprint is compared with one pivot, another in every
+table, and only what then still lies in different components is searched further: a few
+strays against the whole bucket, many by covering the bucket again over the bits its mask
+left free.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from quarry.llm.components import connected_components
 from quarry.storage import materialize
 
 BITS = 64
-#: Fingerprints compared directly in one bucket; larger buckets are covered again.
-BUCKET_LIMIT = 1024
+#: Fingerprints compared directly in one bucket; larger buckets are thinned by a pivot and covered again.
+BUCKET_LIMIT = 4096
+#: Strays of a large bucket that all its rows are compared with; more are covered again.
+STRAY_LIMIT = 64
 #: Shared buckets up to this many are handed to every task; more are joined by a shuffle.
 BROADCAST_BUCKETS = 500_000
 #: Shingles unpacked to bits at once, so one endless text stays within bounded memory.
@@ -190,16 +194,80 @@ def _link_buckets(buckets: DataFrame, rule: Rule) -> DataFrame:
     return buckets.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near(a: list[Column], b: list[Column], rule: Rule) -> Column:
+    """Two fingerprints, each with its check words, link under `rule`."""
+    differ = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    linked = differ[0] <= rule.radius
+    return linked if rule.check is None else linked & (sum(differ[1:], F.lit(0)) <= rule.check)
+
+
+def _handed(table: DataFrame) -> DataFrame:
+    """A table of one row per bucket, broadcast if a count finds it small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_BUCKETS else table
+
+
+def _pivot_links(rows: DataFrame, columns: list[str], rule: Rule) -> DataFrame:
+    """Edges from the rows of each bucket to its pivot, the row with the least hash of node and table."""
+    pivot = F.min_by(F.struct(*columns), F.xxhash64("node", "path")).alias("pivot")
+    pivots = materialize(rows.groupBy("path", "key").agg(pivot), "simhash-pivots")
+    joined = rows.join(_handed(pivots), ["path", "key"])
+    near = _near([F.col(c) for c in columns[1:]], [F.col(f"pivot.{c}") for c in columns[1:]], rule)
+    return joined.filter(near).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).filter("a <> b").distinct()
+
+
+def _split_buckets(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the `label` of their component, and (path, key, main, strays, n) of the buckets that hold several.
+
+    `main` is the component with most rows in the bucket, `strays` counts the others' rows.
+    """
+    found = connected_components(links, "a", "b")
+    labelled = materialize(
+        rows.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"),
+        "simhash-labelled",
+    )
+    parts = labelled.groupBy("path", "key", "label").agg(F.count(F.lit(1)).alias("rows"))
+    buckets = parts.groupBy("path", "key").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("main"),
+        (F.sum("rows") - F.max("rows")).alias("strays"),
+        F.sum("rows").alias("n"),
+    )
+    return labelled, materialize(buckets.filter("strays > 0"), "simhash-split")
+
+
+def _stray_links(labelled: DataFrame, buckets: DataFrame, columns: list[str], rule: Rule) -> DataFrame:
+    """Edges between the components that meet in `buckets`: every row is compared with the bucket's strays."""
+    rows = labelled.join(_handed(buckets.select("path", "key", "main")), ["path", "key"])
+    strays = rows.filter(F.col("label") != F.col("main")).groupBy("path", "key").agg(
+        F.collect_list(F.struct(*columns[1:], "label")).alias("strays")
+    )
+    own = [F.col(c) for c in columns[1:]]
+    linked = F.filter(
+        "strays", lambda s: (s["label"] != F.col("label")) & _near(own, [s[c] for c in columns[1:]], rule)
+    )
+    others = F.array_distinct(F.transform(linked, lambda s: s["label"]))
+    return rows.join(strays, ["path", "key"]).select(F.col("label").alias("a"), F.explode(others).alias("b")).distinct()
+
+
 def near_links(distinct: DataFrame, rule: Rule, limit: int = BUCKET_LIMIT, levels: int = 2) -> DataFrame:
     """Edges (a, b) between nodes of `distinct(node, fp, check words ...)` that span its components.
 
     Every component of the graph under `rule` is connected by the result; links that a
-    forest makes redundant are left out.  What is still over `limit` after the last level is
-    dealt out in blocks, and every two blocks meet in a task of their own.
+    forest makes redundant are left out.  A bucket over `limit` whose rows the links found
+    so far put into one component is done; one with at most `STRAY_LIMIT` rows outside its main
+    component is finished by comparing those with all; others are covered again.  What is
+    still open after the last level is dealt out in blocks, and every two blocks meet in a
+    task of their own.
     """
     columns = distinct.columns
     members = F.collect_list(F.struct(*columns)).alias("members")
     level, rows, found = Level.first(rule.radius), distinct.withColumn("path", F.lit(0)), []
+
+    def all_found() -> DataFrame:
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
     for depth in range(levels):
         table = F.explode(F.sequence(F.col("path") * level.fan, F.col("path") * level.fan + level.fan - 1))
         keyed = rows.select(*columns, table.alias("path")).withColumn(
@@ -208,13 +276,22 @@ def near_links(distinct: DataFrame, rule: Rule, limit: int = BUCKET_LIMIT, level
         sizes = materialize(
             keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets"
         )
-        shared = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
+        shared = _handed(sizes)
         small = keyed.join(shared.filter(F.col("n") <= limit), ["path", "key"])
         found.append(_link_buckets(small.groupBy("path", "key").agg(members), rule).distinct())
         large = sizes.filter(F.col("n") > limit)
         if large.isEmpty():
             break
-        left = keyed.join(large, ["path", "key"])
+        open_rows = materialize(keyed.join(_handed(large.select("path", "key")), ["path", "key"]), "simhash-large")
+        found.append(_pivot_links(open_rows, columns, rule))
+        found = [materialize(all_found(), "simhash-links")]
+        labelled, split = _split_buckets(open_rows, found[0])
+        few, many = split.filter(F.col("strays") <= STRAY_LIMIT), split.filter(F.col("strays") > STRAY_LIMIT)
+        if not few.isEmpty():
+            found.append(_stray_links(labelled, few, columns, rule))
+        if many.isEmpty():
+            break
+        left = labelled.join(_handed(many), ["path", "key"])
         if depth + 1 < levels:
             rows, level = left.select(*columns, "path"), level.next(rule.radius)
             continue
@@ -224,10 +301,7 @@ def near_links(distinct: DataFrame, rule: Rule, limit: int = BUCKET_LIMIT, level
             *columns, "path", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
         ).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
         found.append(_link_buckets(dealt.groupBy("path", "key", "lo", "hi").agg(members), rule).distinct())
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return all_found()
 
 
 def components(prints: DataFrame, rule: Rule) -> DataFrame:

@@ -85,6 +85,34 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
+@pytest.mark.parametrize("limit", [12, 64])
+def test_crowded_buckets_with_check_words(spark, limit):
+    """One crowd that is one component, one of two that only the check words tell apart, and strays."""
+    rng = np.random.default_rng(limit)
+
+    def flip(x, width, n):
+        return x ^ sum(1 << int(b) for b in rng.choice(width, n, replace=False))
+
+    centre, far = int(rng.integers(1 << 62)), int(rng.integers(1 << 62))
+    checks = [int(x) for x in rng.integers(1 << 62, size=4)]
+    rows = {(flip(centre, 50, 2), flip(checks[0], 60, 2), checks[1]) for _ in range(90)}
+    rows |= {(flip(centre, 50, 2), flip(checks[2], 60, 2), checks[3]) for _ in range(60)}
+    rows |= {(flip(far, 50, 1), flip(checks[0], 60, int(rng.integers(1, 30))), checks[1]) for _ in range(60)}
+    rows |= {(int(a), int(b), int(c)) for a, b, c in rng.integers(1 << 62, size=(20, 3))}
+    nodes = list(enumerate(sorted(rows)))
+    edges = [
+        (i, j)
+        for i, x in nodes
+        for j, y in nodes
+        if i < j and (x[0] ^ y[0]).bit_count() <= 3 and (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count() <= 4
+    ]
+    frame = spark.createDataFrame([(i, *x) for i, x in nodes], "node bigint, fp bigint, c0 bigint, c1 bigint")
+    want = components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b")
+    links = simhash.near_links(frame, simhash.Rule(3, 4), limit=limit)
+    got = components.connected_components(links, "a", "b")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_langid(spark, docs):
     model = langid.fit(docs)
     got = langid.identify(docs, model).toPandas()
