@@ -85,9 +85,10 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
-@pytest.mark.parametrize("limit", [12, 64])
-def test_crowded_buckets_with_check_words(spark, limit):
+@pytest.mark.parametrize(("limit", "strays"), [(12, 4), (64, 64)])
+def test_crowded_buckets_with_check_words(spark, monkeypatch, limit, strays):
     """One crowd that is one component, one of two that only the check words tell apart, and strays."""
+    monkeypatch.setattr(simhash, "STRAY_LIMIT", strays)
     rng = np.random.default_rng(limit)
 
     def flip(x, width, n):
