@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import clusters, dedup, retrieval, review
+from quarry.operators import clusters, dedup, loops, retrieval, review
+from quarry.streaming import call_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,3 +474,26 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
 def hard_easy_means(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
     return rows.groupBy("quality").agg(F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+@query(f"""WITH {_ATTEMPTS}, s AS (SELECT user_id, min(CASE WHEN event_type = 'error' THEN attempt END) AS broke, max(n) AS n FROM a GROUP BY user_id)
+SELECT user_id, CASE WHEN broke = 0 THEN 'ALREADY_HARD' WHEN broke <= 5 THEN 'FAILED_FOUND' WHEN n > 5 THEN 'EXHAUSTED' ELSE 'ERROR' END AS status,
+CAST(CASE WHEN broke <= 5 THEN broke WHEN n > 5 THEN 5 ELSE n END AS INTEGER) AS attempts FROM s""")
+def attempt_statuses(spark: SparkSession, d: str) -> DataFrame:
+    verdict = F.when(F.col("event_type") == "error", "FAILED").otherwise("PASSED")
+    events = _attempts(spark, d).withColumn("verdict", verdict)
+
+    def attempt(open_seeds: DataFrame, n: int) -> DataFrame:
+        return events.filter(F.col("attempt") == n).join(open_seeds, "user_id", "left_semi")
+
+    return loops.attempt_loop(events.select("user_id").distinct(), "user_id", attempt, 5)
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS calls,
+count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2""")
+def streaming_spend(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    stream = call_log.read_calls(spark, d, schema, "events.parquet")
+    spent = call_log.spend(stream, "ts", "event_type", "value", F.col("event_type") == "error", "1 hour")
+    out = call_log.run_available(spent, ["window_start", "event_type"])
+    return out.withColumns({"window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), "cost": F.round("cost", 4)})
