@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import clusters, dedup, loops, retrieval, review
+from quarry.operators import clusters, dedup, loops, retrieval, review, traces
 from quarry.streaming import call_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,3 +497,12 @@ def streaming_spend(spark: SparkSession, d: str) -> DataFrame:
     spent = call_log.spend(stream, "ts", "event_type", "value", F.col("event_type") == "error", "1 hour")
     out = call_log.run_available(spent, ["window_start", "event_type"])
     return out.withColumns({"window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), "cost": F.round("cost", 4)})
+
+
+@query("""WITH k AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS position,
+row_number() OVER (PARTITION BY user_id, event_type ORDER BY value <= 50, event_id) AS place FROM events)
+SELECT position, user_id, event_id, event_type FROM k WHERE place = 1""")
+def selected_refs(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("backref"))
+    refs = events.withColumn("title", F.lit(None).cast("string"))
+    return traces.selected_refs(refs, "user_id", "event_id", "event_type", "title", "backref").drop("backref", "title")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.operators import loops
+from quarry.operators import loops, traces
 from quarry.sources import files, sinks
 from quarry.streaming import call_log
 
@@ -95,3 +95,17 @@ def test_attempt_loop_states(spark):
     assert got == {
         "FP": ("ALREADY_HARD", 0), "PPF": ("FAILED_FOUND", 2), "PPP": ("EXHAUSTED", 2), "P": ("ERROR", 1), "": ("ERROR", 0),
     }
+
+
+def test_trace_references(spark):
+    calls = spark.createDataFrame(
+        [(1, ["a", "b"], ["x"]), (2, ["c"], ["y", "z"]), (3, None, ["w"])], "id int, documents array<string>, data array<string>"
+    )
+    got = {tuple(r) for r in traces.positional_sources(calls, "documents", "data").collect()}
+    assert got == {(1, 0, "a", "x"), (1, 1, "b", None), (2, 0, "c", "y")}
+    refs = spark.createDataFrame(
+        [(1, 0, "u", "t", False), (1, 1, "", "t", None), (1, 2, "u", "s", True), (1, 3, None, "t", True)],
+        "answer int, ord int, url string, title string, back boolean",
+    )
+    kept = traces.selected_refs(refs, "answer", "ord", "url", "title", "back").select("position", "ord", "title").collect()
+    assert {tuple(r) for r in kept} == {(0, 2, "s"), (1, 3, "t")}
