@@ -1,0 +1,190 @@
+"""Near copies by the exact Jaccard similarity of five-word shingle sets.
+
+MinHash bands only propose: texts that agree in every hash of some band share a bucket, and a
+pair at the threshold shares none of the 20 with a probability of 3e-5.  Each link is then
+confirmed by the exact similarity of the two sets of 64-bit shingle hashes.
+
+Buckets are not expanded into all their pairs.  Each text is first checked against the few
+likeliest of its bucket, and what these links join is one component.  Only pairs of
+one bucket that still lie in different components, and that the sketch does not rule out, are
+checked after that.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.components import connected_components
+from quarry.llm.simhash import _handed, shingles
+from quarry.storage import materialize
+
+WIDTH = 5
+THRESHOLD = 0.8
+BANDS, ROWS = 20, 4
+HASHES = BANDS * ROWS
+#: Equal hashes of the sketch below which a pair is not checked: over five standard errors under the threshold.
+LEAST_EQUAL = 44
+#: Likeliest partners of a text in each bucket that are checked first.
+FIRST = 2
+#: Rows of a bucket compared in one task; of larger ones every two blocks meet.
+BUCKET_ROWS = 2048
+#: Shingles hashed at once, so one endless text stays within bounded memory.
+CHUNK = 1 << 12
+
+_RANDOM = np.random.default_rng(5)
+_FACTORS = _RANDOM.integers(1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _RANDOM.integers(1 << 63, size=HASHES, dtype=np.uint64)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The different 64-bit hashes of the text's shingles, in order."""
+    parts = [b"".join(map(xxhash.xxh3_64_digest, chunk, repeat(42))) for chunk in shingles(text, WIDTH)]
+    return np.unique(np.frombuffer(b"".join(parts), ">u8").astype(np.uint64))
+
+
+def sketch(values: np.ndarray) -> tuple[bytes, list[int]]:
+    """(low byte of each MinHash, key of each band) of a set that is not empty."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), CHUNK):
+        np.minimum(least, (values[at : at + CHUNK, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
+    data = least.tobytes()
+    size = 8 * ROWS
+    keys = [xxhash.xxh3_64_intdigest(data[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)]
+    return (least & np.uint64(255)).astype(np.uint8).tobytes(), keys
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, n, sketch, keys, members) of every row; equal sets have one node, a text without words has no key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(1).cast(pa.binary()):
+                values = shingle_set(t.as_py() or b"")
+                data = values.tobytes()
+                rows.append((xxhash.xxh3_64_intdigest(data) - (1 << 63), len(values), *(sketch(values) if len(values) else (b"", [])), data))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "n", "sketch", "keys", "members"])
+
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"id {kind}, node bigint, n int, sketch binary, keys array<bigint>, members binary")
+
+
+def _pairs(buckets: DataFrame, first: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of different labels to check: with `first` that many for each row, else all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            rows, offsets = column.values, column.offsets.to_numpy()
+            node, label, n = (rows.field(i).to_numpy() for i in range(3))
+            marks = np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+            offsets = offsets - offsets[0]
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                a, b = [], []
+                for i in range(lo, hi):
+                    start = lo if first else i + 1
+                    equal = (marks[start:hi] == marks[i]).sum(axis=1)
+                    # The smaller set has at least THRESHOLD times the size of the larger.
+                    size = np.minimum(n[start:hi], n[i]) >= THRESHOLD * np.maximum(n[start:hi], n[i]) - 1e-9
+                    at = np.flatnonzero((equal >= LEAST_EQUAL) & size & (label[start:hi] != label[i]))
+                    if first and len(at) > first:
+                        at = at[np.argsort(-equal[at], kind="stable")[:first]]
+                    found = node[start + at]
+                    a.append(np.minimum(found, node[i]))
+                    b.append(np.maximum(found, node[i]))
+                a, b = np.concatenate(a), np.concatenate(b)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return buckets.select("rows").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _confirmed(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets have at least this exact Jaccard similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = _handed(materialize(wanted, "copies-wanted"))
+    sets = prints.select("node", "members").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    sets = materialize(sets, "copies-sets")
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def links(prints: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) between nodes of `prints` that span the components of the graph of near copies."""
+    nodes = materialize(
+        prints.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")),
+        "copies-nodes",
+    )
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "copies-buckets")
+    shared = materialize(
+        keyed.join(_handed(sizes), "key")
+        .join(nodes.select("node", "n", "sketch"), "node")
+        .withColumn("blocks", F.ceil(F.col("size") * 2 / limit).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")),
+        "copies-shared",
+    )
+    rows = F.collect_list(F.struct("node", "label", "n", "sketch")).alias("rows")
+    likely = shared.withColumn("label", F.col("node")).groupBy("key", "own").agg(rows)
+    tested = materialize(_pairs(likely, FIRST), "copies-likely")
+    found = materialize(_confirmed(tested, prints, threshold), "copies-links")
+
+    joined = connected_components(found, "a", "b")
+    labelled = materialize(
+        shared.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"),
+        "copies-labelled",
+    )
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    dealt = labelled.join(_handed(materialize(split, "copies-split")), "key").select(
+        "key", "node", "label", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    meeting = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(rows)
+    rest = materialize(_pairs(meeting, None).join(tested, ["a", "b"], "left_anti"), "copies-rest")
+    return found.unionByName(_confirmed(rest, prints, threshold))
+
+
+def components(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component_id) for every different shingle set; the id is the smallest of the component's rows."""
+    least = prints.groupBy("node").agg(F.min("id").alias("least"))
+    joined = connected_components(links(prints, threshold), "a", "b")
+    labelled = least.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("label"))
+    best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return labelled.join(best, "label").select("node", "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near copies, the one with the smallest id.
+
+    Two texts link if the sets of their five-word shingles (lower-cased words at white space;
+    a shorter text is one shingle) have a Jaccard similarity of at least `threshold`; a group is what links
+    connect.  Texts without words are one group.  Of rows that share the smallest id one
+    stays, the first by a hash of its text; null ids stay only where a group has no other.
+    """
+    me, doc = "__quarry_copy", F.col(id_col)
+    tag = F.struct(doc.isNull().alias("none"), F.coalesce(doc.cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64(text_col).alias("text"))
+    tagged = docs.withColumn(me, tag)
+    prints = materialize(sketches(tagged, me, text_col), "copies-prints")
+    best = components(prints, threshold).select(F.col("component_id").alias(me)).distinct()
+    return tagged.join(best, me, "left_semi").dropDuplicates([me]).select(*docs.columns)

@@ -71,43 +71,17 @@ def fingerprint(text: bytes, width: int) -> int:
     return majority(text, width, xxhash.xxh64_digest, BITS)[0]
 
 
-def check_words(text: bytes, width: int) -> list[int]:
-    """128 further SimHash bits, of longer shingles, that tell likely from actual near copies."""
-    return majority(text, width, xxhash.xxh3_128_digest, 2 * BITS)
-
-
-#: Shorter words say little about a text: with them, unrelated texts share buckets.
-WORD_BYTES = 4
-
-
-def longer_words(text: bytes) -> bytes:
-    """The words of at least `WORD_BYTES` bytes, or all words where none is that long."""
-    words = text.split()
-    return b" ".join([w for w in words if len(w) >= WORD_BYTES] or words)
-
-
-def fingerprints(
-    docs: DataFrame, width: int, check_width: int | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, fp[, c0, c1]) of every row of `docs`; a null text counts as empty and gets zeros.
-
-    With check words, `fp` is made of the longer words only and the check words of all.
-    """
-    names = ["fp", *(["c0", "c1"] if check_width else [])]
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) of every row of `docs`; a null text counts as empty and gets zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            if check_width:
-                rows = [[fingerprint(longer_words(t), width), *check_words(t, check_width)] for t in texts]
-            else:
-                rows = [[fingerprint(t, width)] for t in texts]
-            arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *names])
+            prints = [fingerprint(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return narrow.mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def covering_masks(free: int, radius: int) -> list[int]:
@@ -328,28 +302,14 @@ def near_duplicates(
     unless a component has no other.  Further columns are ignored, an empty table gives an
     empty result.
     """
-    prints = materialize(fingerprints(docs, width, None, id_col, text_col), "simhash")
+    prints = materialize(fingerprints(docs, width, id_col, text_col), "simhash")
     return prints.join(components(prints, Rule(radius)), "fp").select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-#: Near copies are found by words and confirmed by five-word shingles: 24 of 128 bits is a
-#: similarity of about 0.8 (at 0.8 the expected difference is 19 bits).
-WORDS_RULE = Rule(radius=5, check=24)
+def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near copies, by exact similarity (see `minhash.keep_one`)."""
+    from quarry.llm import minhash  # noqa: PLC0415 - it imports this module
 
-
-def keep_one(docs: DataFrame, rule: Rule = WORDS_RULE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near copies, the one with the smallest id.
-
-    Candidates are SimHashes of single longer words within `rule.radius` bits, found by covering
-    masks; a link holds if 128 SimHash bits of five-word shingles differ in at most
-    `rule.check`.  Texts without words are one group.  Of rows that share the smallest id
-    one stays, the first by a hash of its text; null ids stay only where a group has no other.
-    """
-    me, doc = "__quarry_copy", F.col(id_col)
-    tag = F.struct(doc.isNull().alias("none"), F.coalesce(doc.cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64(text_col).alias("text"))
-    tagged = docs.withColumn(me, tag)
-    prints = materialize(fingerprints(tagged, 1, 5, me, text_col), "simhash-words")
-    best = components(prints, rule).select(F.col("component_id").alias(me)).distinct()
-    return tagged.join(best, me, "left_semi").dropDuplicates([me]).select(*docs.columns)
+    return minhash.keep_one(docs, threshold, id_col, text_col)
