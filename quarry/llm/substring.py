@@ -1,8 +1,9 @@
 """Substring deduplication over sliding runs of sentences.
 
-From every sentence of every document a run of consecutive sentences is hashed: the
-shortest run of at least two sentences that has `min_words` words.  A sentence that is long
-enough by itself is hashed alone too.  Runs are counted by hash over the whole corpus, the
+For every sentence of every document two runs of consecutive sentences are hashed: the
+shortest that starts and the shortest that ends with it and has at least two sentences and
+`min_words` words.  So whatever such sentences two texts share is covered to its last one.  A
+sentence that is long enough by itself is hashed alone too.  Runs are counted by hash over the whole corpus, the
 first place (by document id and position) of a repeated run stays, and sentences covered by
 any later place are removed.
 """
@@ -36,20 +37,27 @@ def runs(parts: list[str], min_words: int, long_sentence: int) -> Iterator[tuple
     full = [i for i, w in enumerate(ws) if w]
     texts = [" ".join(ws[i]).encode("utf-8", "replace") for i in full]
     counts = [len(ws[i]) for i in full]
-    n, end, total = len(full), 0, 0
+    n = len(full)
     for k in range(n):
-        if counts[k] >= long_sentence:
+        if counts[k] >= long_sentence or n == 1 and counts[k] >= min_words:
             yield full[k], 1, texts[k]
+    end, total, ends = 0, 0, []
+    for k in range(n):
         while end < n and (end - k < 2 or total < min_words):
             total += counts[end]
             end += 1
-        if end - k < 2 or total < min_words:
-            if end == n and k == 0 and n == 1 and total >= min_words and counts[k] < long_sentence:
-                yield full[k], 1, texts[k]
-            total -= counts[k]
-            continue
-        yield full[k], full[end - 1] - full[k] + 1, b"\n".join(texts[k:end])
+        ends.append(end if end - k >= 2 and total >= min_words else n + 1)
+        if ends[k] <= n:
+            yield full[k], full[end - 1] - full[k] + 1, b"\n".join(texts[k:end])
         total -= counts[k]
+    start, total = 0, 0
+    for end in range(1, n + 1):
+        total += counts[end - 1]
+        while end - start > 2 and total - counts[start] >= min_words:
+            total -= counts[start]
+            start += 1
+        if end - start >= 2 and total >= min_words and ends[start] != end:
+            yield full[start], full[end - 1] - full[start] + 1, b"\n".join(texts[start:end])
 
 
 def _spans(docs: DataFrame, min_words: int, long_sentence: int) -> DataFrame:
