@@ -2,7 +2,7 @@
 
 One zstandard raw-content dictionary per language is filled from a bounded sample of
 labelled texts.  A text belongs to the language whose dictionary compresses it smallest;
-where the runner-up is hardly larger the text is rejected.  Texts are compared by their
+where the runner-up is hardly larger, by bytes or by share, the text is rejected.  Texts are compared by their
 letters only (lower-cased, every other run of characters one space), always in full.
 """
 
@@ -34,8 +34,11 @@ class Settings:
     #: Languages a model may hold; more is an error, never a silent cut.
     max_languages: int = 512
     level: int = 6
-    #: A text is rejected if the runner-up is fewer bytes than this behind.
-    min_margin: int = 1
+    #: A text is rejected if the runner-up is fewer bytes than this behind, or than this share of the
+    #: smallest size.  Set on 2,299 labelled rows that are neither held out nor in a dictionary: 35 are
+    #: rejected, 22 of them under 60 letters; of 1,050 texts of random letters (5 to 400 words) one is not.
+    min_margin: int = 8
+    min_share: float = 0.02
 
 
 def letters(text: str | None) -> bytes:
@@ -78,7 +81,7 @@ class Classifier:
         least = min(sizes)
         score = 1.0 / sum(2.0 ** (max(least - s, -60)) for s in sizes)
         margin = sorted(sizes)[1] - least if len(sizes) > 1 else len(plain)
-        return self.names[sizes.index(least)], score, margin, margin < self.settings.min_margin
+        return self.names[sizes.index(least)], score, margin, margin < max(self.settings.min_margin, self.settings.min_share * least)
 
 
 def held_out(doc_id: Column) -> Column:
