@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import END_ID, Encoder, encoded
+from quarry.llm.tokens import END_ID, encoded, encoder_for
 from quarry.storage import materialize
 
 CAPACITY = 2048
@@ -85,9 +85,8 @@ def pieces(
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at multiples of `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = encoder_for(tokenizer)
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
             rows: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encoder, end_id), strict=True):
                 for start in range(0, len(ids), capacity):

@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from quarry.storage import fresh_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
+#: Bytes of text that one file holds, about.
+FILE_BYTES = 32 << 20
 #: Words, and pieces of words, whose ids a worker remembers; the memory is emptied when full.
 CACHE_WORDS = 700_000
 MAGIC = b"QTOK1"
@@ -150,6 +153,12 @@ class Encoder:
         return ids, np.concatenate(([0], after))[stops]
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> Encoder:
+    """The worker process's encoder: what it learnt of words in one task serves its next ones."""
+    return Encoder(path)
+
+
 #: Bytes of texts encoded together; one longer text is a batch of its own.
 _GROUP_BYTES = 8 << 20
 
@@ -290,9 +299,12 @@ def write_tokens(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write the token ids of `docs` below `path` in ascending id order; returns the manifest.
 
+    There is a file for about every `file_bytes` bytes of text.
+
     The manifest (also written, to `path`/manifest) has a row per file: file, part, n_docs,
     n_ids and first_id, the ids in all files before it.  Null texts are empty; null ids come
     first; equal ids are ordered by their texts.  A task names its file anew each time it
@@ -300,17 +312,17 @@ def write_tokens(
     executors and repeated tasks leave no half-written file behind in it.
     """
     spark = docs.sparkSession
-    ordered = (
-        docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange("id", F.xxhash64("text"))
-        .sortWithinPartitions("id", F.xxhash64("text"), "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(size // file_bytes + 1, "id", F.xxhash64("text")).sortWithinPartitions(
+        "id", F.xxhash64("text"), "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, name = None, f"{path}/{uuid.uuid4().hex}.qtok"
         for batch in batches:
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_for(tokenizer)
                 fs, local = pyarrow.fs.FileSystem.from_uri(name)
                 fs.create_dir(os.path.dirname(local), recursive=True)
                 sink = fs.open_output_stream(local)
