@@ -309,7 +309,7 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near copies, by exact similarity (see `minhash.keep_one`)."""
-    from quarry.llm import minhash  # noqa: PLC0415 - it imports this module
+    """`docs` with one row of each group of near copies, by exact similarity (see `copies.keep_one`)."""
+    from quarry.llm import copies  # noqa: PLC0415 - it imports this module
 
-    return minhash.keep_one(docs, threshold, id_col, text_col)
+    return copies.keep_one(docs, threshold, id_col, text_col)

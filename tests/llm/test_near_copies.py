@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quarry.llm import minhash, simhash
+from quarry.llm import copies, simhash
 
 
 def shingles(text):
@@ -19,10 +19,10 @@ def edited(rng, words, share):
     return [f"new{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("limit", [minhash.BUCKET_ROWS, 8])
+@pytest.mark.parametrize("limit", [copies.BUCKET_ROWS, 8])
 def test_keep_one_against_brute_force(spark, monkeypatch, limit):
     """Pairs around the threshold, most of all short ones, and one crowd: no link missed and none too many."""
-    monkeypatch.setattr(minhash.links, "__defaults__", (minhash.THRESHOLD, limit))
+    monkeypatch.setattr(copies.links, "__defaults__", (copies.THRESHOLD, limit))
     rng = np.random.default_rng(7)
     texts = []
     for k in range(300):
