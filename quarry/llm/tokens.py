@@ -19,12 +19,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,24 +35,28 @@ END_ID = 1
 BLOCK_IDS = 1 << 16
 #: Bytes of text that one file holds, about.
 FILE_BYTES = 32 << 20
-#: Words, and pieces of words, whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 700_000
+#: Pieces whose ids a worker remembers, about 250 bytes each; the memory is emptied when full.
+CACHE_PIECES = 400_000
 MAGIC = b"QTOK1"
 
-#: A fixed value: the split pattern of tokenizers that drop white space, so that words can be encoded alone.
+#: A fixed value: the split pattern of tokenizers that drop white space, so that pieces can be encoded alone.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 _WORD_END = "</w>"
 #: Characters whose lower case and composed form Python and the tokenizer agree on: up to U+017F without white space.
 _PLAIN_WORD = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: `_WORD_PATTERN` on lower-cased words of these characters.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 class Encoder:
     """Ids of texts.
 
-    Where the tokenizer splits at white space and drops it, a word's ids do not depend on
-    its neighbours: a batch's different words are looked up once, and each worker encodes a
-    word's pieces once.  Other tokenizers encode every text whole.
+    Where the tokenizer splits at white space and drops it, a piece's ids do not depend on
+    its neighbours: a batch's different words are split once, and each worker encodes a piece
+    once.  Words with other than plain characters are encoded whole, and so are the texts of
+    other tokenizers and batches with an added token.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,8 +71,6 @@ class Encoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.split = regex.compile(_WORD_PATTERN).findall
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -94,7 +96,7 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_pieces(self, missing: list[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         """Encode pieces that are one token run each, many in a call, told apart by their ends."""
         for at in range(0, len(missing), 1000):
             part = missing[at : at + 1000]
@@ -107,26 +109,22 @@ class Encoder:
             else:
                 self.pieces.update(zip(part, self._whole(part), strict=True))
 
-    def _learn(self, missing: list[str]) -> None:
-        pieces, split, single, parted, whole = self.pieces, self.split, [], [], []
-        for word in missing:
-            lower = word.lower()
-            if not (word.isascii() or _PLAIN_WORD.fullmatch(word)):
-                whole.append(word)
-            elif lower.isalpha():
-                single.append((word, lower))
-            else:
-                parted.append((word, split(lower)))
-        needed = {p for _, p in single}.union(*(parts for _, parts in parted))
-        if len(pieces) + len(needed) > CACHE_WORDS:
-            pieces.clear()
-        self._encode_pieces(list(needed - pieces.keys()))
-        words, piece = self.words, pieces.__getitem__
-        for word, one in single:
-            words[word] = piece(one)
-        for word, parts in parted:
-            words[word] = b"".join(map(piece, parts))
-        words.update(zip(whole, self._whole(whole), strict=True))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        plain, split = _PLAIN_WORD.fullmatch, _PIECES.findall
+        parted = [split(w.lower()) if plain(w) else [w] for w in words]
+        piece = self.pieces.__getitem__
+        try:
+            return [piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parted]
+        except KeyError:  # not all are known yet
+            pass
+        missing = set(chain.from_iterable(parted)).difference(self.pieces)
+        if len(self.pieces) + len(missing) > CACHE_PIECES:
+            self.pieces.clear()
+            missing = set(chain.from_iterable(parted))
+        odd = [w for w in missing if not plain(w)]
+        self.pieces.update(zip(odd, self._whole(odd), strict=True))
+        self._learn(list(missing.difference(odd)))
+        return [piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parted]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the position at which each text's ids end."""
@@ -135,13 +133,8 @@ class Encoder:
             return np.concatenate(found or [np.zeros(0, "<u4")]), np.cumsum([len(x) for x in found], dtype=np.int64)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        missing = [w for w in words if w not in self.words]
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-            missing = words
-        self._learn(missing)
-        known = list(map(self.words.__getitem__, words))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        known = self._encode_words(coded.dictionary.to_pylist())
         table = np.frombuffer(b"".join(known), "<u4")
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(lengths) - lengths
@@ -155,7 +148,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder_for(path: str) -> Encoder:
-    """The worker process's encoder: what it learnt of words in one task serves its next ones."""
+    """The worker process's encoder: what it learnt of pieces in one task serves its next ones."""
     return Encoder(path)
 
 
