@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, langid, packing, pii, simhash
-from quarry.llm.queries import TOKENIZER
+from quarry.llm.queries import TOKENIZER, pii_key
 from quarry.storage import materialize
 
 
@@ -28,9 +28,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data, their length counted anew."""
-    done = docs.withColumn("__done", pii.pseudonymise(F.col("text")))
-    done = done.withColumns({"text": F.col("__done.text"), "n_chars": F.length("__done.text").cast("bigint")})
-    return done.drop("__done")
+    done = "__done"
+    while done in docs.columns:
+        done += "_"
+    told = docs.withColumn(done, pii.pseudonymise(F.col("text"), pii_key(spark)))
+    return told.withColumns({"text": F.col(f"{done}.text"), "n_chars": F.length(f"{done}.text").cast("bigint")}).drop(done)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

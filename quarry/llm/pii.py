@@ -3,30 +3,41 @@
 A value is found by its pattern, validated, and permuted within its own format by a keyed
 Feistel network on two halves (Z_a x Z_b, additions alternating).  The network is a
 permutation of the format's values, so equal values get equal pseudonyms in every document
-and different values stay different.  Card numbers keep a valid check digit and dates stay
-dates.  Mail addresses and secrets have no numeric domain and get keyed digests.
+and different values stay different.  Card and account numbers keep valid check digits, dates
+stay dates, and numbers whose check digits are wrong stay as they are.  Mail addresses and
+secrets have no numeric domain and get keyed digests.  Who knows the key can reverse the
+permutations, so it comes from the session's settings and none is built in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "quarry"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.quarry.pii.key"
 
 # Patterns of what is looked for, in the order in which they are tried.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])"
+SECRET = (
+    r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}"
+    r"|gh[pousr]_[0-9A-Za-z]{20,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z])"
+)
+ASSIGNED = r"(?<![0-9A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?(?=[A-Za-z_+/.~-]*[0-9])[0-9A-Za-z_+/.~-]{8,}+"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 DATE_ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DATE_DMY = r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?![\d/])"
 PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?![\d-])|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-ANY = "|".join((EMAIL, SECRET, DATE_ISO, DATE_DMY, PHONE, SSN, IP, CARD))
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+ANY = "|".join((EMAIL, ASSIGNED, SECRET, IBAN, DATE_ISO, DATE_DMY, PHONE, SSN, IP, CARD))
+
+#: Country calling codes of one and two digits; all others have three.
+_CALLING = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 #: Days from 1900-01-01 to 2099-12-31 are 17 x 4297, so the dates are a Feistel domain as they are.
 _FIRST_DAY = "1900-01-01"
@@ -112,7 +123,7 @@ def _only_digits(value: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    """Number with a valid check digit: the others permuted, the check digit set anew.  Else: all permuted."""
+    """A number with a valid check digit: the others permuted, the check digit set anew.  Else as it is."""
 
     def checked(digits: Column) -> Column:
         body = permute_digits(F.left(digits, F.length(digits) - 1), key, "card")
@@ -123,14 +134,56 @@ def _card(value: Column, key: str) -> Column:
 
     def number(digits: Column) -> Column:
         valid = F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0
-        return F.when(valid, checked(digits)).otherwise(permute_digits(digits, key, "number"))
+        return F.when(valid, _fill(value, checked(digits))).otherwise(value)
+
+    return let(_only_digits(value), number)
+
+
+def _mod97(characters: Column) -> Column:
+    """The remainder by 97 of a string in which letters count from A = 10 to Z = 35."""
+
+    def add(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.pmod(F.when(c >= "A", rest * 100 + letter).otherwise(rest * 10 + c.cast("int")), F.lit(97))
+
+    return F.aggregate(F.filter(F.split(characters, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(value: Column, key: str) -> Column:
+    """An account number with valid check digits: its digits permuted, the check digits set anew.  Else as it is."""
+
+    def account(plain: Column) -> Column:
+        country, rest = F.left(plain, F.lit(2)), F.substr(plain, F.lit(5))
+        digits = _only_digits(rest)
+        moved = F.when(digits == "", rest).otherwise(_fill(rest, permute_digits(digits, key, "iban")))
+
+        def renewed(new: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+            # The value's own spaces are kept: each of its characters in turn takes the next new one.
+            return _place(value, F.concat(country, check, new))
+
+        return F.when(_mod97(F.concat(rest, F.left(plain, F.lit(4)))) == 1, let(moved, renewed)).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), account)
 
-    return _fill(value, let(_only_digits(value), number))
+
+def _place(template: Column, characters: Column) -> Column:
+    """`template` with its characters other than spaces replaced, in order, by `characters`."""
+
+    def put(s: Column, c: Column) -> Column:
+        kept = c == " "
+        return F.struct(
+            F.concat(s["out"], F.when(kept, c).otherwise(F.substr(characters, s["at"], F.lit(1)))).alias("out"),
+            (s["at"] + (~kept).cast("int")).alias("at"),
+        )
+
+    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    return F.aggregate(F.filter(F.split(template, ""), lambda c: c != ""), state, put, lambda s: s["out"])
 
 
 def _phone(value: Column, key: str) -> Column:
     """Country code kept, all further digits permuted; fewer than 7 or over 15 digits are no number."""
-    code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))).otherwise(0)
+    code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, _CALLING, 1))).otherwise(0)
 
     def number(digits: Column) -> Column:
         new = F.concat(F.left(digits, code), permute_digits(F.substr(digits, code + 1), key, "phone"))
@@ -181,29 +234,38 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(F.lit("user"), _digest(key, "email", F.lower(value)).cast("string"), F.lit("@mail.invalid"))
 
 
+#: What of a secret stays: the mark of its kind, or the name that it is assigned to.
+_KEPT = r"^(AKIA|gh[pousr]_|sk-|xox[abprs]-|(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)?"
+
+
 def _secret(value: Column, key: str) -> Column:
-    """As many characters of keyed digests, in the value's letter case."""
-    blocks = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int")),
-            lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), value), 256),
-        ),
-        "",
-    )
-    new = F.left(blocks, F.length(value))
-    new = F.when(F.upper(value) == value, F.upper(new)).otherwise(new)
-    return F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.left(F.upper(blocks), F.lit(16)))).otherwise(new)
+    """As many hex digits of keyed digests, in the value's letter case, behind the mark of its kind."""
+
+    def renewed(head: Column) -> Column:
+        rest = F.substr(value, F.length(head) + 1)
+        blocks = F.array_join(
+            F.transform(
+                F.sequence(F.lit(0), F.floor((F.length(rest) - 1) / 64).cast("int")),
+                lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), rest), 256),
+            ),
+            "",
+        )
+        new = F.left(blocks, F.length(rest))
+        return F.concat(head, F.when(F.upper(rest) == rest, F.upper(new)).otherwise(new))
+
+    return let(F.regexp_extract(value, _KEPT, 0), renewed)
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value; a value that fails its validation stays."""
 
     def whole(pattern: str) -> Column:
         return value.rlike(f"^(?:{pattern})$")
 
     return (
-        F.when(F.instr(value, "@") > 0, _email(value, key))
-        .when(whole(r"[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}"), _secret(value, key))
+        F.when(whole(ASSIGNED) | whole(SECRET), _secret(value, key))
+        .when(F.instr(value, "@") > 0, _email(value, key))
+        .when(whole(IBAN), _iban(value, key))
         .when(whole(r"\d{4}-\d{2}-\d{2}"), _date(value, "yyyy-MM-dd", key))
         .when(whole(r"\d{2}[./]\d{2}[./]\d{4}"), _date(value, "dd.MM.yyyy", key))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), _fill(value, permute_digits(_only_digits(value), key, "ssn")))
@@ -213,27 +275,40 @@ def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
     )
 
 
-def pseudonymise(text: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonymise(text: Column, key: str) -> Column:
     """A struct (text with pseudonyms, n values replaced) of a text column; null stays null with 0."""
+    if not key:
+        raise ValueError(f"personal data needs a key; set {KEY_SETTING}")
     found = F.regexp_extract_all(text, F.lit(ANY), 0)
-    between = F.split(text, ANY, -1)
-    # Only texts with a digit or an at sign can hold a value; the others are not searched.
-    may = text.rlike("[0-9@]")
-    both = F.when(may, F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))
 
     def joined(values: Column) -> Column:
-        pieces = F.zip_with(between, values, lambda s, v: F.concat(s, F.coalesce(v["new"], F.lit(""))))
+        pieces = F.zip_with(F.split(text, ANY, -1), values, lambda s, v: F.concat(s, F.coalesce(v["new"], F.lit(""))))
         n = F.size(F.filter(values, lambda v: v["old"] != v["new"])).cast("bigint")
         return F.struct(F.array_join(pieces, "").alias("text"), n.alias("n"))
 
-    return F.when(may, let(both, joined)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n")))
+    def replaced(old: Column) -> Column:
+        new = F.transform(old, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+        unchanged = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))
+        return F.when(F.size(old) > 0, let(new, joined)).otherwise(unchanged)
+
+    return let(found, replaced)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's settings name; none is an error."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        raise ValueError(f"personal data needs a key; set {KEY_SETTING}")
+    return key
 
 
-def redact(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced) for every row of `docs`, personal data replaced by pseudonyms.
 
-    A null text stays null; a text without personal data is unchanged.  Repeated rows are
-    treated alike.
+    Without `key` the session's setting is taken, and without that the call fails.  A null
+    text stays null; a text without personal data is unchanged, an empty table gives an
+    empty result.  Repeated rows are treated alike, other columns are ignored.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     done = docs.select(F.col(id_col).alias("doc_id"), pseudonymise(F.col(text_col), key).alias("done"))
     return done.select("doc_id", F.col("done.text").alias("text"), F.col("done.n").alias("n_replaced"))

@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's key; the registered queries run over invented documents, so they have one of their own."""
+    return spark.conf.get(pii.KEY_SETTING, "") or "invented documents"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=3)
 
@@ -40,7 +45,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(_table(spark, sf_dir, "documents"))
+    return pii.redact(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
