@@ -13,6 +13,6 @@ from quarry.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false")
+    session = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__quarry__pii__key="tests")
     session.sparkContext.setLogLevel("ERROR")
     return session
