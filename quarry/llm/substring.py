@@ -2,10 +2,11 @@
 
 For every sentence of every document two runs of consecutive sentences are hashed: the
 shortest that starts and the shortest that ends with it and has at least two sentences and
-`min_words` words.  So whatever such sentences two texts share is covered to its last one.  A
-sentence that is long enough by itself is hashed alone too.  Runs are counted by hash over the whole corpus, the
-first place (by document id and position) of a repeated run stays, and sentences covered by
-any later place are removed.
+`min_words` words.  Every longer run is made of these, so whatever such sentences two texts
+share is covered from its first to its last.  A sentence that is long enough by itself is
+hashed alone too.  Runs are counted by hash over the whole corpus, the first place (by
+document id and position) of a repeated run stays, and sentences covered by any later place
+are removed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 25
 #: Words from which one sentence is a run by itself.
 LONG_SENTENCE = 50
+#: Tasks over which the places of one run are spread.
+SALTS = 8
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\S)[^\n.!?]*)*(?:[.!?]+\s*|\n\s*|$)")
 _LEAST = -(1 << 63)
 
@@ -61,58 +64,62 @@ def runs(parts: list[str], min_words: int, long_sentence: int) -> Iterator[tuple
 
 
 def _spans(docs: DataFrame, min_words: int, long_sentence: int) -> DataFrame:
-    """(h1, h2, id, place); place packs a tag of the text, the run's length and its first sentence."""
+    """(h1, h2, id, tag, place) of `docs(id, tag, text)`; place packs the run's length and its first sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, ids, places = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h1, h2, row, places = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 if not text:
                     continue
-                tag = text_tag(text) << 44
                 for first, n, data in runs(sentences(text), min_words, long_sentence):
                     digest = xxhash.xxh3_128_intdigest(data)
-                    h1.append((digest >> 64) & (1 << 64) - 1)
+                    h1.append(digest >> 64)
                     h2.append(digest & 0x7FFFFFFF)
-                    ids.append(doc_id)
-                    places.append(tag | min(n, 4095) << 32 | first)
+                    row.append(i)
+                    places.append(n << 32 | first)
+            at = pa.array(row, pa.int32())
             arrays = [
                 pa.array(np.array(h1, np.uint64).view(np.int64)),
                 pa.array(h2, pa.int32()),
-                pa.array(ids, pa.int64()),
+                batch.column(0).take(at),
+                batch.column(1).take(at),
                 pa.array(places, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "id", "place"])
+            yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "id", "tag", "place"])
 
-    return docs.select("id", "text").mapInArrow(run, "h1 bigint, h2 int, id bigint, place bigint")
+    return docs.select("id", "tag", "text").mapInArrow(run, "h1 bigint, h2 int, id bigint, tag int, place bigint")
 
 
-def text_tag(text: str) -> int:
-    """19 bits that tell rows of one id apart."""
-    return xxhash.xxh32_intdigest(text.encode("utf-8", "replace")) >> 13
-
-
-def covered(places: list[int], tag: int, n: int) -> set[int]:
-    """Sentences of the text with this tag that the places cover."""
+def covered(places: list[dict], n: int) -> set[int]:
+    """Sentences, of n, in the places that are removed: where `run` is given, all but the run's first place."""
     found: set[int] = set()
-    for place in places:
-        if place >> 44 == tag:
-            first, length = place & 0xFFFFFFFF, place >> 32 & 0xFFF
-            found.update(range(first, min(n, first + length)))
+    first: dict[int, int] = {}
+    for p in places:
+        if p["run"] is not None:
+            first[p["run"]] = min(first.get(p["run"], p["place"]), p["place"])
+    for p in places:
+        if p["run"] is None or p["place"] != first[p["run"]]:
+            start, length = p["place"] & 0xFFFFFFFF, p["place"] >> 32
+            found.update(range(start, min(n, start + length)))
     return found
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """(id, places): every place of a repeated run of `docs(id, text)` other than its first."""
-    spans = _spans(docs, min_words, long_sentence)
-    first = (
-        spans.groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
-    )
-    later = spans.join(first, ["h1", "h2"]).filter("id <> first_id or place <> first_place")
-    return later.select("id", "place").groupBy("id").agg(F.collect_set("place").alias("places"))
+    """(id, tag, places): every place of a repeated run of `docs(id, tag, text)`.
+
+    A place in the run's first document carries the `run`, as only later ones there go.
+    """
+    # Sentences are hashed once: one exchange, salted so that no run's places meet in one task, serves both uses.
+    salt = F.pmod(F.xxhash64("id", "tag"), F.lit(SALTS)).cast("int")
+    spans = _spans(docs, min_words, long_sentence).withColumn("salt", salt).repartition("h1", "h2", "salt")
+    # One number orders texts by id and tag, so the least is found by hashing and not by sorting.
+    text = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("tag").cast("decimal(11,0)")
+    first = spans.groupBy("h1", "h2").agg(F.min(text).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = spans.join(dealt, ["h1", "h2", "salt"])
+    place = F.struct("place", F.when(text == F.col("first"), F.col("h1")).alias("run"))
+    return joined.groupBy("id", "tag").agg(F.collect_set(place).alias("places"))
 
 
 def dedup_substrings(
@@ -126,16 +133,18 @@ def dedup_substrings(
 
     The text keeps every sentence that no later place of a repeated run covers, white space
     included.  Null texts stay null and have no sentence; documents without a repeated run
-    are unchanged.  A null id orders first.  Rows that agree in id and text are one place,
-    so none of them is removed on account of another.
+    are unchanged.  A null id orders first, equal ids by a hash of their texts.  Rows that
+    agree in id and text are one place, so none of them is removed on account of another.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LEAST)).alias("id"),
+        F.hash(F.col(text_col)).alias("tag"),
         F.col(text_col).alias("text"),
     )
-    later = repeated_spans(rows.select("id", "text"), min_words, long_sentence)
-    joined = rows.join(later, "id", "left").select("doc_id", "text", "places")
+    later = repeated_spans(rows.select("id", "tag", "text"), min_words, long_sentence)
+    joined = rows.join(later, ["id", "tag"], "left").select("doc_id", "text", "places")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +152,7 @@ def dedup_substrings(
             texts, counts, removed = [], [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 parts = sentences(text) if text else []
-                gone = covered(places, text_tag(text), len(parts)) if places and text else set()
+                gone = covered(places, len(parts)) if places and text else set()
                 texts.append("".join(p for i, p in enumerate(parts) if i not in gone) if gone else text)
                 counts.append(len(parts))
                 removed.append(len(gone))
