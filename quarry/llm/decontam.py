@@ -4,7 +4,7 @@ The items' word sequences build one automaton; a document's words are streamed t
 while the length of the longest match ending at each word is tracked.  Ten matched words
 are a window of some item; a shorter item is a window as a whole.  Items are taken in
 blocks of bounded size, one automaton each, and the documents pass through the blocks one
-after another without a shuffle.
+after another without a shuffle, through a few of them at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.storage import materialize
+
 WINDOW = 10
 #: Words of the items that one automaton holds; a state takes a few hundred bytes.
 BLOCK_WORDS = 100_000
@@ -157,6 +159,36 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
 
 
 _SPANS = "array<struct<start:int,end:int>>"
+#: Automata handed to the tasks of one pass over the documents; beyond, what was found is written and the next ones follow.
+BLOCKS_AT_ONCE = 8
+_FOUND = ("__n_words", "__spans", "__items")
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, block_words: int, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    """`docs` with the columns of `_FOUND`: words, hit spans and the items that they come from."""
+    names = _free_names(docs.columns)
+    kinds = ("bigint", _SPANS, "array<string>")
+    starts = (F.lit(0), F.array(), F.array())
+    current = docs.withColumns({n: s.cast(k) for n, s, k in zip(names, starts, kinds, strict=True)})
+    sc, held = docs.sparkSession.sparkContext, []
+    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
+    for block in chain([next(blocks, [])], blocks):
+        if len(held) == BLOCKS_AT_ONCE:
+            current = materialize(current, "decontamination")
+            for one in held:
+                one.unpersist()
+            held = []
+        held.append(sc.broadcast(SuffixAutomaton(block, window)))
+        current = _through(current, held[-1], text_col, names)
+    return current
+
+
+def _free_names(columns: list[str]) -> list[str]:
+    """`_FOUND`, lengthened until no column has such a name."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any(n + tail in taken for n in _FOUND):
+        tail += "_"
+    return [n + tail for n in _FOUND]
 
 
 def hit_spans(
@@ -170,44 +202,32 @@ def hit_spans(
     item_text_col: str = "text",
 ) -> DataFrame:
     """(id, text, n_words, spans, items) for every row of `docs`; `spans` are word positions."""
-    sc = docs.sparkSession.sparkContext
-    current = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("bigint").alias("n_words"),
-        F.array().cast(_SPANS).alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
-    for block in chain([next(blocks, [])], blocks):
-        current = _through(current, sc.broadcast(SuffixAutomaton(block, window)))
-    return current
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _searched(narrow, items, window, block_words, "text", item_id_col, item_text_col)
+    return found.withColumnsRenamed(dict(zip(_FOUND, ("n_words", "spans", "items"), strict=True)))
 
 
-def _through(docs: DataFrame, automaton) -> DataFrame:  # noqa: ANN001
+def _through(docs: DataFrame, automaton, text_col: str, names: list[str]) -> DataFrame:  # noqa: ANN001
     schema = docs.schema
+    at = [docs.columns.index(c) for c in (text_col, *names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one: SuffixAutomaton = automaton.value
         for batch in batches:
-            counts, spans, names = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (old_spans, old_names) in zip(batch.column("text").cast(pa.binary()), before, strict=True):
+            counts, spans, items = [], [], []
+            before = zip(batch.column(at[2]).to_pylist(), batch.column(at[3]).to_pylist(), strict=True)
+            for text, (old_spans, old_names) in zip(batch.column(at[0]).cast(pa.binary()), before, strict=True):
                 ws = words(text.as_py())
                 found, new_names = one.match(ws)
                 counts.append(len(ws))
                 if old_spans:
                     found = merge_spans(found + [(s["start"], s["end"]) for s in old_spans])
                 spans.append([{"start": a, "end": b} for a, b in found])
-                names.append(sorted(set(old_names) | {n for n in new_names if n is not None}))
-            arrays = [
-                batch.column("id"),
-                batch.column("text"),
-                pa.array(counts, pa.int64()),
-                pa.array(spans, batch.schema.field("spans").type),
-                pa.array(names, batch.schema.field("items").type),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+                items.append(sorted(set(old_names) | {n for n in new_names if n is not None}))
+            columns = list(batch.columns)
+            for place, values in zip(at[1:], (counts, spans, items), strict=True):
+                columns[place] = pa.array(values, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, schema)
 
@@ -253,6 +273,7 @@ def decontaminate(
     items: DataFrame,
     window: int = WINDOW,
     max_coverage: float = 0.5,
+    block_words: int = BLOCK_WORDS,
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
@@ -262,26 +283,21 @@ def decontaminate(
     A document goes as a whole where more than `max_coverage` of its words are hit.  Null
     texts and documents without a hit stay as they are.
     """
-    sc = docs.sparkSession.sparkContext
-    automata = [
-        sc.broadcast(SuffixAutomaton(block, window))
-        for block in item_blocks(items, item_id_col, item_text_col, BLOCK_WORDS)
-    ]
+    found = _searched(docs, items, window, block_words, text_col, item_id_col, item_text_col)
     schema = docs.schema
-    position = docs.columns.index(text_col)
+    position, (n_words, spans_at, _) = docs.columns.index(text_col), (found.columns.index(c) for c in _free_names(docs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, texts = [], []
-            for text in batch.column(position).to_pylist():
-                ws = words(text.encode("utf-8", "replace") if text else None)
-                spans = merge_spans([s for one in automata for s in one.value.match(ws)[0]])
-                hit = sum(b - a for a, b in spans)
-                kept.append(not spans or hit <= max_coverage * len(ws))
+            counts, hits = batch.column(n_words).to_pylist(), batch.column(spans_at).to_pylist()
+            for text, n, hit in zip(batch.column(position).to_pylist(), counts, hits, strict=True):
+                spans = [(s["start"], s["end"]) for s in hit]
+                kept.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n)
                 texts.append(remove_spans(text, spans) if spans and kept[-1] else text)
-            columns = list(batch.columns)
+            columns = list(batch.columns[: len(schema)])
             columns[position] = pa.array(texts, batch.schema.field(position).type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            out = pa.RecordBatch.from_arrays(columns, names=schema.names)
             yield out.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, schema) if automata else docs
+    return found.mapInArrow(run, schema)

@@ -8,17 +8,17 @@ letters only (lower-cased, every other run of characters one space), always in f
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,9 @@ class Settings:
 
     #: Labelled texts sampled for each language, those with the smallest hash of their id.
     sample_docs: int = 256
-    #: Characters that one sampled text gives to a dictionary.
+    #: Characters that one sampled text gives to a dictionary at most.
     excerpt: int = 1500
-    #: Bytes of a dictionary.
+    #: Bytes of a dictionary; each sampled text has an equal share.
     dictionary_bytes: int = 110_000
     #: Languages a model may hold; more is an error, never a silent cut.
     max_languages: int = 512
@@ -42,8 +42,10 @@ class Settings:
 
 
 def letters(text: str | None) -> bytes:
-    """The letters of a text, lower-cased, words separated by single spaces."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    """The letters of a text with their marks, lower-cased, words separated by single spaces; empty without a letter."""
+    if not text or not _LETTER.search(text):
+        return b""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -114,22 +116,27 @@ def fit(
         .select("id", "lang")
         .distinct()
     )
-    # At most sample_docs x max_languages ids; excerpts bound what reaches the driver.
+    # Counted before anything of them reaches the driver.
+    found = chosen.select("lang").distinct().limit(settings.max_languages + 1).count()
+    if found > settings.max_languages:
+        raise ValueError(f"over {settings.max_languages} languages (max_languages)")
+    # One text for each of at most sample_docs x max_languages ids, the first by hash where an id repeats.
     sampled = (
         rows.join(F.broadcast(chosen), ["id", "lang"])
-        .select("lang", "id", F.substring("text", 1, settings.excerpt).alias("text"))
+        .select("lang", "id", F.xxhash64("text").alias("tag"), F.substring("text", 1, settings.excerpt).alias("text"))
+        .groupBy("lang", "id")
+        .agg(F.min_by("text", "tag").alias("text"))
+        .select("lang", F.xxhash64("id").alias("at"), "text")
         .collect()
     )
     parts: dict[str, list[tuple]] = {}
     for row in sampled:
         if row["text"] is not None:
-            parts.setdefault(row["lang"], []).append((row["id"], letters(row["text"])))
-    if len(parts) > settings.max_languages:
-        raise ValueError(f"{len(parts)} languages; max_languages is {settings.max_languages}")
-    filled = {
-        lang: b" ".join(text for _, text in sorted(texts) if text)[: settings.dictionary_bytes]
-        for lang, texts in parts.items()
-    }
+            parts.setdefault(row["lang"], []).append((row["at"], letters(row["text"])))
+    filled = {}
+    for lang, texts in parts.items():
+        kept = [text for _, text in sorted(texts) if text]
+        filled[lang] = b" ".join(text[: settings.dictionary_bytes // len(kept)] for text in kept)[: settings.dictionary_bytes]
     return Model({lang: data for lang, data in filled.items() if len(data) >= 8}, settings)
 
 

@@ -20,11 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.storage import materialize
+
 MIN_WORDS = 25
 #: Words from which one sentence is a run by itself.
 LONG_SENTENCE = 50
 #: Tasks over which the places of one run are spread.
 SALTS = 8
+#: Texts with a repeated run (12 bytes each) up to which the others stay where they are; beyond, all are shuffled.
+BROADCAST_TEXTS = 5_000_000
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\S)[^\n.!?]*)*(?:[.!?]+\s*|\n\s*|$)")
 _LEAST = -(1 << 63)
 
@@ -115,7 +119,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_sentence: i
     spans = _spans(docs, min_words, long_sentence).withColumn("salt", salt).repartition("h1", "h2", "salt")
     # One number orders texts by id and tag, so the least is found by hashing and not by sorting.
     text = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("tag").cast("decimal(11,0)")
-    first = spans.groupBy("h1", "h2").agg(F.min(text).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    counts = spans.groupBy("h1", "h2").agg(F.min(text).alias("first"), F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    # Places are never negative; naming them keeps both uses' columns alike, without which the exchange is made twice.
+    first = counts.filter("n > 1 AND least >= 0").select("h1", "h2", "first")
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = spans.join(dealt, ["h1", "h2", "salt"])
     place = F.struct("place", F.when(text == F.col("first"), F.col("h1")).alias("run"))
@@ -143,8 +149,16 @@ def dedup_substrings(
         F.hash(F.col(text_col)).alias("tag"),
         F.col(text_col).alias("text"),
     )
-    later = repeated_spans(rows.select("id", "tag", "text"), min_words, long_sentence)
-    joined = rows.join(later, ["id", "tag"], "left").select("doc_id", "text", "places")
+    later = materialize(repeated_spans(rows.select("id", "tag", "text"), min_words, long_sentence), "repeated-places")
+    touched = later.select("id", "tag")
+    if touched.count() <= BROADCAST_TEXTS:
+        # Only the texts that lose a sentence meet their places; the others are not moved.
+        some = rows.join(F.broadcast(touched), ["id", "tag"], "left_semi").join(later.hint("merge"), ["id", "tag"])
+        rest = rows.join(F.broadcast(touched), ["id", "tag"], "left_anti").withColumn("places", F.lit(None).cast(later.schema["places"].dataType))
+        joined = some.unionByName(rest)
+    else:
+        joined = rows.join(later, ["id", "tag"], "left")
+    joined = joined.select("doc_id", "text", "places")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
