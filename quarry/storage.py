@@ -7,6 +7,8 @@ not a recomputation, and the lineage stays short.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,12 +18,19 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none."""
-    root = spark.conf.get(_KEY, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder.
+
+    Where the session names none, a session on this machine alone gets a temporary one, which
+    goes when Python ends; on a cluster that would be a folder the executors do not see, so
+    it is an error.
+    """
+    root = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -40,6 +49,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete what this library wrote to the shared folder (call once results are stored)."""
+    """Delete what this library wrote to the shared folder.
+
+    The caller of an operator owns its intermediate tables, as results read from them: call
+    this once the results are stored and no other job of the session is at work.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/quarry")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
