@@ -43,6 +43,8 @@ MAGIC = b"QTOK1"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 _WORD_END = "</w>"
+#: Words whose ids are gathered at once.
+_GATHER = 1 << 17
 #: Characters whose lower case and composed form Python and the tokenizer agree on: up to U+017F without white space.
 _PLAIN_WORD = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -139,11 +141,14 @@ class Encoder:
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(lengths) - lengths
         each = lengths[codes]
-        after = np.cumsum(each)
-        shift = starts[codes] - (after - each)
-        ids = table[np.repeat(shift, each) + np.arange(int(after[-1]) if len(after) else 0)]
+        after = np.concatenate(([0], np.cumsum(each)))
+        ids = np.empty(after[-1], "<u4")
+        for a in range(0, len(codes), _GATHER):
+            some, end = each[a : a + _GATHER], min(a + _GATHER, len(codes))
+            shift = np.repeat(starts[codes[a:end]] - after[a:end], some)
+            ids[after[a] : after[end]] = table[shift + np.arange(after[a], after[end])]
         stops = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
-        return ids, np.concatenate(([0], after))[stops]
+        return ids, after[stops]
 
 
 @lru_cache(maxsize=1)
@@ -153,7 +158,7 @@ def encoder_for(path: str) -> Encoder:
 
 
 #: Bytes of texts encoded together; one longer text is a batch of its own.
-_GROUP_BYTES = 8 << 20
+_GROUP_BYTES = 4 << 20
 
 
 def encoded(column: pa.Array, encoder: Encoder, end_id: int) -> Iterator[np.ndarray]:
