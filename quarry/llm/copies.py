@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
 from quarry.llm.simhash import BITS, _handed, _long_array, covering_masks, shingles
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 WIDTH = 5
@@ -77,7 +78,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, node bigint, fps array<bigint>")
+    return narrow.mapInArrow(tidy(run), f"id {kind}, node bigint, fps array<bigint>")
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -97,7 +98,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py() or b"").tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "members"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    return texts.select("node", "text").mapInArrow(tidy(run), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -118,7 +119,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold:
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "copies-links")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "copies-links")
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -160,7 +161,7 @@ def _pairs(buckets: DataFrame, most: int, forest: bool) -> DataFrame:
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    return buckets.select("rows").mapInArrow(run, "a bigint, b bigint").distinct()
+    return buckets.select("rows").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _open_blocks(shared: DataFrame, nodes: DataFrame, found: DataFrame, limit: int) -> DataFrame | None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 WINDOW = 10
@@ -229,7 +230,7 @@ def _through(docs: DataFrame, automaton, text_col: str, names: list[str]) -> Dat
                 columns[place] = pa.array(values, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, **names: str) -> DataFrame:
@@ -300,4 +301,4 @@ def decontaminate(
             out = pa.RecordBatch.from_arrays(columns, names=schema.names)
             yield out.filter(pa.array(kept, pa.bool_()))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidy(run), schema)

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 #: Pages from which a host's own template is deduced; fewer use the template of all hosts.
@@ -373,7 +374,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _TOKENS.split(", ")])
 
-    return pages.mapInArrow(run, _TOKENS)
+    return pages.mapInArrow(tidy(run), _TOKENS)
 
 
 @dataclass
@@ -467,7 +468,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             arrays = [*batch.columns[:2], *(pa.array([getattr(t, c) for t in found], pa.list_(pa.int64())) for c in ("content", "constant"))]
             yield pa.RecordBatch.from_arrays(arrays, ["host", "n_pages", "content", "constant"])
 
-    return listed.mapInArrow(run, "host string, n_pages bigint, content array<bigint>, constant array<bigint>")
+    return listed.mapInArrow(tidy(run), "host string, n_pages bigint, content array<bigint>, constant array<bigint>")
 
 
 def main_text(page: str, content: frozenset[int], constant: frozenset[int]) -> str:
@@ -522,4 +523,4 @@ def extract(
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return joined.mapInArrow(tidy(run), f"page_id {kind}, url string, text string, n_chars bigint")

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.workers import release
+
 UNDETERMINED = "und"
 _NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
@@ -147,10 +149,11 @@ def predictions(model: Model, docs: DataFrame, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double, margin bigint, rejected boolean")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = shared.value.classifier()
-        for batch in batches:
-            yield pd.DataFrame(
-                [one(t) for t in batch], columns=["lang_pred", "score", "margin", "rejected"]
-            )
+        try:
+            for batch in batches:
+                yield pd.DataFrame([one(t) for t in batch], columns=["lang_pred", "score", "margin", "rejected"])
+        finally:
+            release()
 
     return classify(text)
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.tokens import END_ID, encoded, encoder_for
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 CAPACITY = 2048
@@ -100,7 +101,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, _PIECES)
+    return narrow.mapInArrow(tidy(run), _PIECES)
 
 
 def pack(
@@ -136,7 +137,7 @@ def pack(
         yield from table.to_batches(max_chunksize=10_000)
 
     dealt = cut.repartition(tasks, F.xxhash64("doc_id", "start", "ids_crc32"))
-    packed = materialize(dealt.mapInArrow(run, _PIECES + ", part bigint, window bigint, offset int"), "packed")
+    packed = materialize(dealt.mapInArrow(tidy(run), _PIECES + ", part bigint, window bigint, offset int"), "packed")
     # One row per packing task.
     counts = packed.groupBy("part").agg((F.max("window") + 1).alias("n")).orderBy("part").collect()
     bases, base = [], 0

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 BITS = 64
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col:
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, fp bigint")
+    return narrow.mapInArrow(tidy(run), f"id {kind}, fp bigint")
 
 
 def covering_masks(free: int, radius: int) -> list[int]:
@@ -165,7 +166,7 @@ def _link_buckets(buckets: DataFrame, rule: Rule) -> DataFrame:
                 b += nodes[lo:hi][right].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return buckets.select("members").mapInArrow(run, "a bigint, b bigint")
+    return buckets.select("members").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _near(a: list[Column], b: list[Column], rule: Rule) -> Column:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 MIN_WORDS = 25
@@ -92,7 +93,7 @@ def _spans(docs: DataFrame, min_words: int, long_sentence: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "id", "tag", "place"])
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "h1 bigint, h2 int, id bigint, tag int, place bigint")
+    return docs.select("id", "tag", "text").mapInArrow(tidy(run), "h1 bigint, h2 int, id bigint, tag int, place bigint")
 
 
 def covered(places: list[dict], n: int) -> set[int]:
@@ -178,4 +179,4 @@ def dedup_substrings(
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_sentences", "n_removed"])
 
-    return joined.mapInArrow(run, f"doc_id {kind}, text string, n_sentences bigint, n_removed bigint")
+    return joined.mapInArrow(tidy(run), f"doc_id {kind}, text string, n_sentences bigint, n_removed bigint")

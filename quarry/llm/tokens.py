@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.workers import tidy
 from quarry.storage import fresh_path
 
 END_ID = 1
@@ -340,7 +341,7 @@ def write_tokens(
             yield pa.RecordBatch.from_pydict(row)
 
     # One row per file: the number of partitions bounds it, not the documents.
-    files = sorted(ordered.mapInArrow(run, "file string, part bigint, n_docs bigint, n_ids bigint").collect(), key=lambda r: r["part"])
+    files = sorted(ordered.mapInArrow(tidy(run), "file string, part bigint, n_docs bigint, n_ids bigint").collect(), key=lambda r: r["part"])
     rows, before = [], 0
     for f in files:
         rows.append((f["file"], f["part"], f["n_docs"], f["n_ids"], before))
@@ -382,7 +383,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
     files = manifest.select("file", "first_id")
     # A task per file: the files are few and each is as large as a partition.
-    return files.repartitionByRange(max(1, manifest.count()), "first_id").mapInArrow(run, schema)
+    return files.repartitionByRange(max(1, manifest.count()), "first_id").mapInArrow(tidy(run), schema)
 
 
 def token_files(
