@@ -165,8 +165,10 @@ BLOCKS_AT_ONCE = 8
 _FOUND = ("__n_words", "__spans", "__items")
 
 
-def _searched(docs: DataFrame, items: DataFrame, window: int, block_words: int, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
-    """`docs` with the columns of `_FOUND`: words, hit spans and the items that they come from."""
+def _searched(
+    docs: DataFrame, items: DataFrame, window: int, block_words: int, text_col: str, item_id_col: str, item_text_col: str
+) -> tuple[DataFrame, object]:
+    """`docs` with the columns of `_FOUND` (words, hit spans, items) by all blocks but the last, and that one's automaton."""
     names = _free_names(docs.columns)
     kinds = ("bigint", _SPANS, "array<string>")
     starts = (F.lit(0), F.array(), F.array())
@@ -174,14 +176,15 @@ def _searched(docs: DataFrame, items: DataFrame, window: int, block_words: int,
     sc, held = docs.sparkSession.sparkContext, []
     blocks = item_blocks(items, item_id_col, item_text_col, block_words)
     for block in chain([next(blocks, [])], blocks):
-        if len(held) == BLOCKS_AT_ONCE:
+        if len(held) > BLOCKS_AT_ONCE:
             current = materialize(current, "decontamination")
-            for one in held:
+            for one in held[:-1]:
                 one.unpersist()
-            held = []
+            held = held[-1:]
+        if held:
+            current = _through(current, held[-1], text_col, names)
         held.append(sc.broadcast(SuffixAutomaton(block, window)))
-        current = _through(current, held[-1], text_col, names)
-    return current
+    return current, held[-1]
 
 
 def _free_names(columns: list[str]) -> list[str]:
@@ -204,7 +207,8 @@ def hit_spans(
 ) -> DataFrame:
     """(id, text, n_words, spans, items) for every row of `docs`; `spans` are word positions."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _searched(narrow, items, window, block_words, "text", item_id_col, item_text_col)
+    found, last = _searched(narrow, items, window, block_words, "text", item_id_col, item_text_col)
+    found = _through(found, last, "text", list(_FOUND))
     return found.withColumnsRenamed(dict(zip(_FOUND, ("n_words", "spans", "items"), strict=True)))
 
 
@@ -284,17 +288,20 @@ def decontaminate(
     A document goes as a whole where more than `max_coverage` of its words are hit.  Null
     texts and documents without a hit stay as they are.
     """
-    found = _searched(docs, items, window, block_words, text_col, item_id_col, item_text_col)
+    found, last = _searched(docs, items, window, block_words, text_col, item_id_col, item_text_col)
     schema = docs.schema
-    position, (n_words, spans_at, _) = docs.columns.index(text_col), (found.columns.index(c) for c in _free_names(docs.columns))
+    position, spans_at = docs.columns.index(text_col), found.columns.index(_free_names(docs.columns)[1])
 
+    # The last block is searched where the text is cut, so one Python worker a task does both.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: SuffixAutomaton = last.value
         for batch in batches:
             kept, texts = [], []
-            counts, hits = batch.column(n_words).to_pylist(), batch.column(spans_at).to_pylist()
-            for text, n, hit in zip(batch.column(position).to_pylist(), counts, hits, strict=True):
-                spans = [(s["start"], s["end"]) for s in hit]
-                kept.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n)
+            for text, hit in zip(batch.column(position), batch.column(spans_at).to_pylist(), strict=True):
+                text = text.as_py()
+                ws = words(text.encode("utf-8", "replace") if text else None)
+                spans = merge_spans(one.match(ws)[0] + [(s["start"], s["end"]) for s in hit])
+                kept.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(ws))
                 texts.append(remove_spans(text, spans) if spans and kept[-1] else text)
             columns = list(batch.columns[: len(schema)])
             columns[position] = pa.array(texts, batch.schema.field(position).type)
