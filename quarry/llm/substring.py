@@ -115,14 +115,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_sentence: i
 
     A place in the run's first document carries the `run`, as only later ones there go.
     """
-    # Sentences are hashed once: one exchange, salted so that no run's places meet in one task, serves both uses.
+    # Salted, so that no run's places meet in one task; the count's partial sums need no salt.
     salt = F.pmod(F.xxhash64("id", "tag"), F.lit(SALTS)).cast("int")
     spans = _spans(docs, min_words, long_sentence).withColumn("salt", salt).repartition("h1", "h2", "salt")
     # One number orders texts by id and tag, so the least is found by hashing and not by sorting.
     text = F.col("id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("tag").cast("decimal(11,0)")
-    counts = spans.groupBy("h1", "h2").agg(F.min(text).alias("first"), F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
-    # Places are never negative; naming them keeps both uses' columns alike, without which the exchange is made twice.
-    first = counts.filter("n > 1 AND least >= 0").select("h1", "h2", "first")
+    first = spans.groupBy("h1", "h2").agg(F.min(text).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = spans.join(dealt, ["h1", "h2", "salt"])
     place = F.struct("place", F.when(text == F.col("first"), F.col("h1")).alias("run"))
