@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s ]+"
+#: White space as Python's `str.split` knows it.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def norm(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
 
 
 def word_count(text: Column) -> Column:
     """Words at white space; 0 for an empty text."""
-    return F.size(F.filter(F.split(text, _SPACE), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
 def space_pieces(text: Column) -> Column:
@@ -30,7 +31,7 @@ def truthy(text: Column) -> Column:
 
 def abridge(text: Column, n: int) -> Column:
     """The first n words, marked where more follow."""
-    ws = F.filter(F.split(text, _SPACE), lambda w: w != "")
+    ws = F.filter(F.split(text, SPACE), lambda w: w != "")
     cut = F.array_join(F.slice(ws, 1, n), " ")
     return F.when(F.size(ws) > n, F.concat(cut, F.lit(" …"))).otherwise(cut)
 

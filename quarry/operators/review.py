@@ -14,7 +14,7 @@ def skip_reason(satisfied: Column, text: Column, max_words: int) -> Column:
 
 
 #: Fixed value: an acronym or code, which no phrase count can reject.
-_CODE = r"\b[A-Z]{2,}\b|\d"
+_CODE = r"(?U)\b[A-Z]{2,}\b|\d"
 
 
 def can_reject(term: Column) -> Column:

@@ -7,35 +7,14 @@ documents.lang, strategy cluster = documents.source, verdict = labels.quality, a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
 from quarry.operators import clusters, dedup, loops, retrieval, review, traces
+from quarry.plans.registry import ORACLE_SQL, QUERIES, SQL_SPACE, query, table
 from quarry.streaming import call_log
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
@@ -93,15 +72,15 @@ def source_run_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return clusters.run_breakdown(_examples(spark, d), "source", "lang", "failed")
 
 
-@query(f"WITH {_NODES} SELECT source, num_failed FROM nodes WHERE num_failed > 8")
+@query(f"WITH {_NODES} SELECT source, num_failed FROM nodes WHERE num_failed > 3")
 def ban_quota(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.over_quota(_nodes(spark, d), 8).select("source", "num_failed")
+    return clusters.over_quota(_nodes(spark, d), 3).select("source", "num_failed")
 
 
-@query(f"WITH {_NODES} SELECT source, weight FROM ranked WHERE num_failed <= 8")
+@query(f"WITH {_NODES} SELECT source, weight FROM ranked WHERE num_failed <= 3")
 def example_pool(spark: SparkSession, d: str) -> DataFrame:
     ranked = clusters.rank(_nodes(spark, d), "source")
-    return ranked.join(clusters.over_quota(ranked, 8).select("source"), "source", "left_anti").select("source", "weight")
+    return ranked.join(clusters.over_quota(ranked, 3).select("source"), "source", "left_anti").select("source", "weight")
 
 
 @query(f"""WITH {_NODES} SELECT source, doc_id, place FROM (SELECT source, doc_id,
@@ -180,7 +159,7 @@ def first_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_wins(table(spark, d, "documents").select("doc_id", "text"), ["text"], [F.col("doc_id")])
 
 
-@query(r"""SELECT trim(regexp_replace(lower(text), '[\s ]+', ' ', 'g')) AS norm, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING norm <> ''""")
+@query(f"""SELECT trim(regexp_replace(lower(text), '{SQL_SPACE}', ' ', 'g')) AS norm, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING norm <> ''""")
 def norm_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", scalar.norm(F.col("text")).alias("norm")).filter("norm <> ''")
     return dedup.first_wins(rows, ["norm"], [F.col("doc_id")]).select("norm", "doc_id")
@@ -199,7 +178,7 @@ def order_preserving_merge(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keyed_merge(rows, "source", "doc_id", F.col("latest")).select("source", "position", "latest")
 
 
-_WORDS = r"len(list_filter(regexp_split_to_array({x}, '[\s ]+'), lambda w: w <> ''))"
+_WORDS = "len(list_filter(regexp_split_to_array({x}, '" + SQL_SPACE.replace("{", "{{").replace("}", "}}") + "'), lambda w: w <> ''))"
 
 
 @query(f"SELECT doc_id, CAST({_WORDS.format(x='text')} AS INTEGER) AS n_words FROM documents WHERE {_WORDS.format(x='text')} <= 200")
@@ -288,7 +267,7 @@ def cross_system_fill(spark: SparkSession, d: str) -> DataFrame:
 
 _LONG = """v AS (SELECT doc_id AS id, lang AS target, system, CASE WHEN system = 'quality' THEN (CASE WHEN quality = 0 THEN 'FAILED' WHEN quality = 1 THEN 'PASSED' END)
  ELSE (CASE WHEN toxic = 1 THEN 'FAILED' WHEN toxic = 0 THEN 'PASSED' END) END AS verdict
- FROM (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 5 < 2 OR l.doc_id IS NOT NULL) x
+ FROM (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)) x
  CROSS JOIN (SELECT unnest(['quality', 'toxic', 'en']) AS system) s)"""
 
 
@@ -506,3 +485,6 @@ def selected_refs(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("backref"))
     refs = events.withColumn("title", F.lit(None).cast("string"))
     return traces.selected_refs(refs, "user_id", "event_id", "event_type", "title", "backref").drop("backref", "title")
+
+
+from quarry.plans import literature, loop  # noqa: E402, F401 - they register their queries
