@@ -225,8 +225,10 @@ def menu_text(spark: SparkSession, d: str) -> DataFrame:
 _HASH = "(('0x' || substr(md5('{salt}' || user_id), 1, 12))::BIGINT + 0.5) / 281474976710656"
 
 
-@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY {_HASH.format(salt='system')}) AS p, count(*) OVER () AS n FROM u)
-SELECT user_id, CASE WHEN p <= round(n * 0.5) THEN 'a' WHEN p <= round(n * 0.5) + round(n * 0.3) THEN 'b' ELSE 'c' END AS system FROM r""")
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY {_HASH.format(salt='system')}) AS p FROM u),
+e AS (SELECT i, name, n * share AS exact, floor(n * share) AS base, n FROM (VALUES (1, 'a', 0.5), (2, 'b', 0.3), (3, 'c', 0.2)) v(i, name, share) CROSS JOIN (SELECT count(*) AS n FROM u)),
+c AS (SELECT i, name, base + CASE WHEN row_number() OVER (ORDER BY exact - base DESC, i) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM e),
+z AS (SELECT name, k, sum(k) OVER (ORDER BY i) AS upto FROM c) SELECT user_id, name AS system FROM r JOIN z ON p > upto - k AND p <= upto""")
 def split_by_system(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "events").select("user_id").distinct()
     counts = examples.split_counts([0.5, 0.3, None], seeds.count())
