@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from quarry.storage import materialize
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """Count and order-free hash of the edges: two equal states end the iteration."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return int(row["n"]), int(row["h"] or 0)
+def _is_stars(edges: DataFrame) -> bool:
+    """Every edge (u, v) leads from a node of one edge to its root: no u has two edges, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.filter("out > 1 OR (out = 1 AND into = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -47,12 +47,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
     ).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v")))
     current = materialize(pairs.distinct(), "edges")
-    state = _state(current)
-    while state[0]:
-        current = materialize(_small_star(_large_star(current).distinct()).distinct(), "edges")
-        before, state = state, _state(current)
-        if state == before:
-            break
+    while not _is_stars(current):
+        # The large step gives a row per edge at most, so repeated rows can wait for the one exchange at the end.
+        current = materialize(_small_star(_large_star(current)).distinct(), "edges")
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

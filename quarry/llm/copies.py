@@ -164,11 +164,11 @@ def _pairs(buckets: DataFrame, most: int, forest: bool) -> DataFrame:
     return buckets.select("rows").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
-def _open_blocks(shared: DataFrame, nodes: DataFrame, found: DataFrame, limit: int) -> DataFrame | None:
-    """Arrays `rows` of (node, label, fps) that meet in a bucket still holding several components; null if none does."""
+def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit: int) -> DataFrame | None:
+    """Arrays `rows` of (node, label, fps) that meet in a bucket still holding several of `groups`; null if none does."""
     label = F.coalesce("component", "node").alias("label")
     labelled = materialize(
-        shared.filter("n > 2").join(connected_components(found, "a", "b"), "node", "left").select("key", "node", "n", label), "copies-labelled"
+        shared.filter("n > 2").join(groups, "node", "left").select("key", "node", "n", label), "copies-labelled"
     )
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     split = materialize(split, "copies-split")
@@ -184,7 +184,7 @@ def _open_blocks(shared: DataFrame, nodes: DataFrame, found: DataFrame, limit: i
 
 
 def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) between `nodes(node, least, fps)` that span the components of the graph of near copies."""
+    """(node, component) of the nodes of `nodes(node, least, fps)` that have a near copy; component is the least of its group."""
     masks = covering_masks((1 << BITS) - 1, RADIUS)
     tables = F.explode(F.sequence(F.lit(0), F.lit(PRINTS * len(masks) - 1))).alias("table")
     spread = nodes.filter("fps IS NOT NULL").select("node", "fps", tables)
@@ -202,16 +202,18 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
         .filter(near).select("a", "b")
     )
     tested = materialize(pairs, "copies-tested")
-    found = _confirmed(tested, nodes, texts, threshold)
+    joined = connected_components(_confirmed(tested, nodes, texts, threshold), "a", "b")
     for most, forest in ((CLOSE_BITS, True), (MOST_BITS, False)):
-        blocks = _open_blocks(shared, nodes, found, limit)
+        blocks = _open_blocks(shared, nodes, joined, limit)
         if blocks is None:
             break
         more = materialize(_pairs(blocks, most, forest).join(tested, ["a", "b"], "left_anti"), "copies-more")
         if not more.isEmpty():
             tested = tested.unionByName(more)
-            found = found.unionByName(_confirmed(more, nodes, texts, threshold))
-    return found
+            # What is joined already goes on as one edge for each node, so new links meet finished stars.
+            stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = connected_components(stars.unionByName(_confirmed(more, nodes, texts, threshold)), "a", "b")
+    return joined
 
 
 def losers(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,8 +221,7 @@ def losers(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     nodes = materialize(
         prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("rows")), "copies-nodes"
     )
-    joined = connected_components(links(nodes, texts, threshold), "a", "b")
-    linked = materialize(joined.join(nodes.select("node", "least"), "node"), "copies-linked")
+    linked = materialize(links(nodes, texts, threshold).join(nodes.select("node", "least"), "node"), "copies-linked")
     best = linked.groupBy("component").agg(F.min("least").alias("keep"))
     near = linked.join(_handed(materialize(best, "copies-best")), "component").select("node", "keep")
     alone = nodes.filter("rows > 1").join(_handed(linked.select("node")), "node", "left_anti")
