@@ -7,9 +7,10 @@ bits or fewer; the six together reach what one alone would miss at a similarity
 fingerprints only propose: a link is confirmed by the exact similarity of the two sets of
 shingle hashes.
 
-Buckets are not expanded into all their pairs.  Each text is first checked against its
+Each text is first checked against its
 bucket's pivot; in buckets that then still hold several components a forest of the closest
-texts is checked, and after that what pairs are left between different components.
+texts is checked, and after that what pairs are left between different components.  That
+last round grows with the square of a group of texts that are alike but under the threshold.
 """
 
 from __future__ import annotations
