@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, as Python's `str.strip` knows it."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def norm(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import clusters, dedup, loops, retrieval, review, traces
+from quarry.operators import clusters, dedup, examples, loops, retrieval, review, traces
 from quarry.plans.registry import ORACLE_SQL, QUERIES, SQL_SPACE, query, table
 from quarry.streaming import call_log
 
@@ -66,6 +66,16 @@ def ranking_by_volume(spark: SparkSession, d: str) -> DataFrame:
     return _ranking(spark, d, "volume")
 
 
+@query(f"""WITH RECURSIVE {_NODES}, r AS (SELECT source, row_number() OVER (ORDER BY failure_rate DESC, num_failed DESC, source) AS a,
+ row_number() OVER (ORDER BY num_failed DESC, failure_rate DESC, source) AS b FROM scored),
+lists AS (SELECT list(source ORDER BY a) AS a, list(source ORDER BY b) AS b FROM r),
+drawn(taken) AS (SELECT CAST([] AS VARCHAR[]) UNION ALL SELECT list_append(taken, list_filter(CASE WHEN len(taken) % 2 = 0 THEN a ELSE b END, lambda x: NOT list_contains(taken, x))[1])
+ FROM drawn, lists WHERE len(taken) < len(a))
+SELECT taken[i] AS source, CAST(i AS INTEGER) AS rank FROM (SELECT taken, unnest(range(1, len(taken) + 1)) AS i FROM drawn, lists WHERE len(taken) = len(a))""")
+def ranking_diverse(spark: SparkSession, d: str) -> DataFrame:
+    return examples.diverse(_nodes(spark, d), "source")
+
+
 @query(f"""WITH {_NODES} SELECT source, lang AS source_run, count(*) AS num_questions,
  count(CASE WHEN failed THEN 1 END) AS num_failed FROM examples GROUP BY source, lang""")
 def source_run_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -487,4 +497,4 @@ def selected_refs(spark: SparkSession, d: str) -> DataFrame:
     return traces.selected_refs(refs, "user_id", "event_id", "event_type", "title", "backref").drop("backref", "title")
 
 
-from quarry.plans import literature, loop  # noqa: E402, F401 - they register their queries
+from quarry.plans import literature, loop, providers, replay  # noqa: E402, F401 - they register their queries

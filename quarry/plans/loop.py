@@ -231,8 +231,9 @@ c AS (SELECT i, name, base + CASE WHEN row_number() OVER (ORDER BY exact - base
 z AS (SELECT name, k, sum(k) OVER (ORDER BY i) AS upto FROM c) SELECT user_id, name AS system FROM r JOIN z ON p > upto - k AND p <= upto""")
 def split_by_system(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "events").select("user_id").distinct()
-    counts = examples.split_counts([0.5, 0.3, None], seeds.count())
-    return examples.dealt(seeds, scalar.unit_hash("system", F.col("user_id")), ["a", "b", "c"], counts, "system")
+    systems = spark.sql("SELECT * FROM VALUES (1, 'a', 0.5D), (2, 'b', 0.3D), (3, 'c', NULL) AS t(ord, name, share)")
+    keyed = seeds.withColumn("at", scalar.unit_hash("system", F.col("user_id")))
+    return examples.dealt(keyed, ["at", "user_id"], examples.split_sizes(systems, seeds.count()), "system").drop("at")
 
 
 @query(f"""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, row_number() OVER (ORDER BY {_HASH.format(salt='prompt')}) AS p, count(*) OVER () AS n FROM u)
@@ -241,7 +242,9 @@ def split_by_prompt(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "events").select("user_id").distinct()
     n = seeds.count()
     explore = examples.explore_count(n, 0.25)
-    return examples.dealt(seeds, scalar.unit_hash("prompt", F.col("user_id")), ["explore", "exploit"], [explore, n - explore], "prompt")
+    sizes = spark.sql(f"SELECT * FROM VALUES (1, 'explore', {explore}), (2, 'exploit', {n - explore}) AS t(ord, name, size)")
+    keyed = seeds.withColumn("at", scalar.unit_hash("prompt", F.col("user_id")))
+    return examples.dealt(keyed, ["at", "user_id"], sizes, "prompt").drop("at")
 
 
 @query(f"""WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id FROM u ORDER BY {_HASH.format(salt='shuffle')} LIMIT 25""")

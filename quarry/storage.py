@@ -48,6 +48,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of a pattern whose write has finished: those with the mark that Spark's writers leave last."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = mark.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(mark)
+    return sorted(str(status.getPath().getParent()) for status in found or [])
+
+
 def discard(spark: SparkSession) -> None:
     """Delete what this library wrote to the shared folder.
 
