@@ -20,52 +20,51 @@ def _string(*parts: Column | str) -> Column:
 
 # --- papers ---
 
-_PASSAGES = """p AS (SELECT l_orderkey AS paper, l_orderkey * 8 + l_linenumber AS ord, CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'text ' || l_partkey END AS text,
+_PASSAGES = """p AS (SELECT l_orderkey AS paper, (l_orderkey * 8 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) AS ord, CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'text ' || l_partkey END AS text,
  l_extendedprice AS score, CASE WHEN l_returnflag = 'A' THEN l_quantity * 5000 END AS rerank_score,
  CASE l_partkey % 4 WHEN 0 THEN 'abstract' WHEN 1 THEN 'Methods' WHEN 2 THEN 'title' END AS section,
- CASE WHEN l_linestatus = 'F' THEN 'public_api' ELSE 'body' END AS kind, CAST(l_quantity AS BIGINT) AS at,
- row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem)"""
+ CASE WHEN l_linestatus = 'F' THEN 'public_api' ELSE 'body' END AS kind, CAST(l_quantity AS BIGINT) AS at FROM lineitem)"""
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
-    again = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    # Lines repeat, so a passage's number tells them apart.
+    again = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
     part = F.col("l_partkey") % 4
     return rows.select(
         F.col("l_orderkey").alias("paper"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000 + F.row_number().over(again)).alias("ord"),
         F.when(F.col("l_suppkey") % 17 == 0, "").otherwise(_string("text ", F.col("l_partkey"))).alias("text"),
         F.col("l_extendedprice").alias("score"),
         F.when(F.col("l_returnflag") == "A", F.col("l_quantity") * 5000).alias("rerank_score"),
         F.when(part == 0, "abstract").when(part == 1, "Methods").when(part == 2, "title").alias("section"),
         F.when(F.col("l_linestatus") == "F", "public_api").otherwise("body").alias("kind"),
         F.col("l_quantity").cast("bigint").alias("at"),
-        F.row_number().over(again).alias("r"),
-    ).filter("r = 1").drop("r")
+    )
 
 
 @query(f"""WITH {_PASSAGES} SELECT paper, max(coalesce(rerank_score, score)) AS relevance, count(CASE WHEN kind <> 'public_api' THEN 1 END) AS n_passages,
  min(ord) AS position, coalesce(nullif(any_value(CASE WHEN o_orderstatus = 'F' THEN 'own abstract' ELSE '' END), ''), arg_min(text, ord) FILTER (section = 'abstract')) AS abstract
- FROM p JOIN orders ON o_orderkey = paper WHERE r = 1 AND text <> '' GROUP BY paper""")
+ FROM p JOIN orders ON o_orderkey = paper WHERE text <> '' GROUP BY paper""")
 def papers_of_passages(spark: SparkSession, d: str) -> DataFrame:
     metadata = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper"), F.when(F.col("o_orderstatus") == "F", "own abstract").otherwise("").alias("abstract"))
     return papers.aggregated(_passages(spark, d), metadata, "paper", "ord").select("paper", "relevance", "n_passages", "position", "abstract")
 
 
 @query(f"""WITH {_PASSAGES}, s AS (SELECT paper, coalesce(section, '') AS section, string_agg(text, chr(10) || '...' || chr(10) ORDER BY "at", text) AS t, min("at") AS first FROM p
- WHERE r = 1 AND coalesce(section, '') NOT IN ('abstract', 'title') GROUP BY 1, 2)
+ WHERE coalesce(section, '') NOT IN ('abstract', 'title') GROUP BY 1, 2)
 SELECT q.paper, coalesce(string_agg('## ' || section || chr(10) || t, chr(10) || chr(10) ORDER BY first, section), '') AS text
-FROM (SELECT DISTINCT paper FROM p WHERE r = 1) q LEFT JOIN s ON s.paper = q.paper GROUP BY q.paper""")
+FROM (SELECT DISTINCT paper FROM p) q LEFT JOIN s ON s.paper = q.paper GROUP BY q.paper""")
 def paper_sections(spark: SparkSession, d: str) -> DataFrame:
     return papers.sections(_passages(spark, d), "paper")
 
 
-@query(f"WITH {_PASSAGES} SELECT ord, score FROM p WHERE r = 1 ORDER BY score DESC, ord LIMIT 40")
+@query(f"WITH {_PASSAGES} SELECT ord, score FROM p ORDER BY score DESC, ord LIMIT 40")
 def reranked_passages(spark: SparkSession, d: str) -> DataFrame:
     return papers.reranked(_passages(spark, d), "score", "ord", 40).select("ord", "score")
 
 
-@query(f"""WITH {_PASSAGES} SELECT ord FROM p WHERE r = 1 AND text <> '' AND section <> '' AND "at" <> 0 AND coalesce(rerank_score, 0) >= 50000""")
+@query(f"""WITH {_PASSAGES} SELECT ord FROM p WHERE text <> '' AND section <> '' AND "at" <> 0 AND coalesce(rerank_score, 0) >= 50000""")
 def complete_passages(spark: SparkSession, d: str) -> DataFrame:
     rows = papers.complete(_passages(spark, d), ["text", "section", "at"])
     return rows.filter(F.coalesce("rerank_score", F.lit(0.0)) >= 50000).select("ord")
@@ -189,17 +188,21 @@ def numbered_answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT conv_id, string_agg('s' || (turn % 3) || '+s' || (turn % 5), ' ' ORDER BY turn) AS ids, count(*) AS n, true AS has FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, CASE WHEN conv_id % 4 > 0 THEN string_agg('s' || (turn % 3) || '+s' || (turn % 5), ' ' ORDER BY turn) ELSE '' END AS ids,
+ CASE WHEN conv_id % 4 > 0 THEN count(*) ELSE 0 END AS n, conv_id % 4 > 0 AS has FROM conversations GROUP BY conv_id""")
 def cited_ids(spark: SparkSession, d: str) -> DataFrame:
+    # Every fourth answer has lost its tags.
+    bare = F.regexp_replace("answer", "</?cite[^>]*>", "")
+    given = _answers(spark, d).withColumn("answer", F.when(F.col("conv_id") % 4 == 0, bare).otherwise(F.col("answer")))
     cited = answers.citations(F.col("answer"))
     ids = F.array_join(F.transform(cited, lambda c: F.array_join(c["ids"], "+")), " ")
-    return _answers(spark, d).select("conv_id", ids.alias("ids"), F.size(cited).cast("bigint").alias("n"), answers.has_citations(F.col("answer")).alias("has"))
+    return given.select("conv_id", ids.alias("ids"), F.size(cited).cast("bigint").alias("n"), answers.has_citations(F.col("answer")).alias("has"))
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '{SQL_SPACE}'), lambda w: w <> '') AS ws FROM conversations)
-SELECT conv_id, chr(10) || chr(10) || 'References' || chr(10) || string_agg('[' || (turn + 1) || '] ' || CASE WHEN turn % 2 = 0 THEN 'Title ' || turn ELSE '(untitled)' END ||
+@query(f"""WITH w AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number, list_filter(regexp_split_to_array(text, '{SQL_SPACE}'), lambda w: w <> '') AS ws FROM conversations)
+SELECT conv_id, chr(10) || chr(10) || 'References' || chr(10) || string_agg('[' || number || '] ' || CASE WHEN turn % 2 = 0 THEN 'Title ' || turn ELSE '(untitled)' END ||
  CASE WHEN turn % 3 = 0 THEN ' — http://x/' || turn ELSE '' END || CASE WHEN len(ws) > 0 THEN chr(10) || '    snippet: ' || array_to_string(ws[1:7], ' ') || CASE WHEN len(ws) > 7 THEN ' …' ELSE '' END ELSE '' END,
- chr(10) || chr(10) ORDER BY turn) AS block FROM w GROUP BY conv_id HAVING count(*) = max(turn) + 1""")
+ chr(10) || chr(10) ORDER BY turn) AS block FROM w GROUP BY conv_id""")
 def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
     turn = F.col("turn")
     ref = F.struct(
@@ -208,8 +211,8 @@ def reference_blocks(spark: SparkSession, d: str) -> DataFrame:
         F.when(turn % 3 == 0, _string("http://x/", turn)).alias("url"),
         F.col("text").alias("snippet"),
     )
-    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(ref)).alias("refs"), F.max("turn").alias("last"))
-    return grouped.filter(F.size("refs") == F.col("last") + 1).select("conv_id", answers.reference_lines(F.col("refs"), 7).alias("block"))
+    grouped = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(ref)).alias("refs"))
+    return grouped.select("conv_id", answers.reference_lines(F.col("refs"), 7).alias("block"))
 
 
 _BODY = """m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'A Google search for ''query ' || turn || ''' found 2 results:' WHEN 1 THEN
@@ -235,11 +238,14 @@ def searches_of_traces(spark: SparkSession, d: str) -> DataFrame:
     return answers.searches_run(found).select("conv_id", "turn", "tool", "query")
 
 
-@query(f"""WITH {_BODY} SELECT conv_id, turn, 'https://arxiv.org/abs/1234.0000' || turn AS url, 'g' || turn AS goal, 'arXiv:1234.0000' || turn AS title FROM m WHERE turn % 4 = 1""")
+@query(f"""WITH {_BODY} SELECT conv_id, turn, 'https://arxiv.org/abs/1234.0000' || turn AS url, 'g' || turn AS goal, CASE WHEN turn % 8 = 1 THEN 'Hit ' || conv_id ELSE 'arXiv:1234.0000' || turn END AS title FROM m WHERE turn % 4 = 1""")
 def visited_pages(spark: SparkSession, d: str) -> DataFrame:
     responses = answers.tool_responses(_messages(spark, d), "conv_id", "turn", "content")
     found = answers.visits(responses, "conv_id", "turn")
-    pool = found.filter("turn < 0").select("conv_id", "url", F.lit("").alias("title"))
+    # Searches found every other page, and some that nobody visited.
+    turns = table(spark, d, "conversations")
+    seen = turns.filter(F.col("turn") % 8 != 5).select("conv_id", _string("https://arxiv.org/abs/1234.0000", F.col("turn")).alias("url"), _string("Hit ", F.col("conv_id")).alias("title"))
+    pool = seen.dropDuplicates(["conv_id", "url"])
     return answers.visit_titles(found, pool, "conv_id").select("conv_id", "turn", "url", "goal", "title")
 
 
@@ -308,13 +314,12 @@ def page_back_references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.page_numbers(said), ",").alias("pages"))
 
 
-@query("""SELECT item_id, item_id::VARCHAR AS found, '[' || item_id || ']' AS listed, CAST(CASE WHEN item_id % 3 = 0 THEN 5 ELSE greatest(1, least(10, item_id % 12)) END AS INTEGER) AS score FROM benchmark WHERE item_id % 12 BETWEEN 1 AND 10""")
+@query("""SELECT item_id, item_id::VARCHAR AS found, '[' || item_id || ']' AS listed, CAST(CASE WHEN item_id % 3 = 0 THEN 5 ELSE greatest(1, least(10, item_id % 12)) END AS INTEGER) AS score FROM benchmark""")
 def json_and_scores(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("item_id")
     said = F.when(n % 2 == 0, _string("Sure:\n```json\n{\"a\": ", n, "}\n``` {x}")).otherwise(_string("text {\"a\": ", n, "} tail"))
     score = F.when(n % 3 == 0, "no number, 0 or 77").otherwise(_string("I say ", n % 12, " of 10"))
-    rows = table(spark, d, "benchmark").filter(n.cast("int") % 12 != 0).filter(n % 12 <= 10)
-    return rows.select(
+    return table(spark, d, "benchmark").select(
         "item_id",
         F.get_json_object(text.first_json(said), "$.a").alias("found"),
         text.first_array(_string("so [", n, "] it is")).alias("listed"),
@@ -330,14 +335,13 @@ def elapsed_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'a.org' WHEN n_nationkey % 3 = 1 THEN 'a.org and b.org' ELSE 'a.org, b.org and c.org' END AS listed,
  CASE n_nationkey % 4 WHEN 0 THEN ':2021-06' WHEN 1 THEN '2019:2020' WHEN 2 THEN '2021:2021-06' ELSE ':2021-06' END AS dates,
- CASE WHEN n_nationkey % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider FROM (SELECT unnest(range(0, 25)) AS n_nationkey)""")
+ CASE WHEN n_nationkey % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider FROM nation""")
 def domain_phrases(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")
     domains = F.slice(F.lit(["a.org", "b.org", "c.org"]), F.lit(1), (n % 3 + 1).cast("int"))
     years = F.when(n % 4 == 1, "2019-2020").when(n % 4 == 2, "2023-2025").when(n % 4 == 3, "-")
     model = F.when(n % 4 == 0, "GPT-5").when(n % 4 == 2, "o3-mini").otherwise("o3x")
-    rows = spark.range(25).select(F.col("id").alias("n_nationkey"))
-    return rows.select("n_nationkey", text.listed(domains).alias("listed"), text.date_range(years, F.lit("2021-06")).alias("dates"), text.provider(model).alias("provider"))
+    return table(spark, d, "nation").select("n_nationkey", text.listed(domains).alias("listed"), text.date_range(years, F.lit("2021-06")).alias("dates"), text.provider(model).alias("provider"))
 
 
 @query("""SELECT item_id, regexp_replace(replace(text, ', ', ' – '), '\\s*–\\s*', '-', 'g') AS searched FROM benchmark""".replace("\\\\", "\\"))
@@ -345,14 +349,18 @@ def dashed_phrases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", text.plain_dashes(F.replace("text", F.lit(", "), F.lit(" – "))).alias("searched"))
 
 
-@query("""SELECT doc_id, length(text) < 200 OR regexp_matches(left('Access DENIED' || text, 400), '(?i)captcha|access denied') AS failed, false AS unusable,
+@query(r"""SELECT doc_id, length(text) < 200 OR doc_id % 10 = 3 OR doc_id % 10 = 4 AND length(text) <= 390 AS failed,
+ CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN regexp_matches(substr(text, 1, 30), '(?i)^https?://|^microsoft word\b|^[\w.\-]+\.pdf$|^untitled') WHEN 3 THEN true ELSE false END AS unusable,
  length(text) > 5000 OR length(text) - length(replace(text, chr(10), '')) >= 5 AS suspicious FROM documents""")
 def text_checks(spark: SparkSession, d: str) -> DataFrame:
     body = F.col("text")
     lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    key = F.col("doc_id")
+    evidence = F.when(key % 10 == 3, F.concat(F.lit("Access DENIED. "), body)).when(key % 10 == 4, F.concat(body, F.lit(" captcha"))).otherwise(body)
+    title = F.when(key % 5 == 0, _string("https://x.org/", key)).when(key % 5 == 1, _string("paper_", key, ".pdf")).when(key % 5 == 2, F.substring(body, 1, 30)).when(key % 5 == 3, "Microsoft Word - draft").otherwise("A title, untitled")
     return table(spark, d, "documents").select(
         "doc_id",
-        text.fetch_failed(F.concat(F.lit("Access DENIED"), body)).alias("failed"),
-        text.unusable_title(F.concat(F.lit("a "), F.lit("title"))).alias("unusable"),
+        text.fetch_failed(evidence).alias("failed"),
+        text.unusable_title(title).alias("unusable"),
         ((F.length(body) > 5000) | (lines >= 5)).alias("suspicious"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar, text
-from quarry.operators import examples
+from quarry.operators import examples, positions
 from quarry.plans.registry import SQL_SPACE, query, table
 
 _STATUS = ["ALREADY_HARD", "EXHAUSTED", "FAILED_FOUND", "ERROR"]
@@ -129,11 +129,11 @@ def mean_attempts_to_break(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_ATTEMPTS}, e AS (SELECT user_id, min(event_type) AS m FROM events GROUP BY user_id)
+@query(f"""WITH {_ATTEMPTS}, e AS (SELECT user_id, arg_min(event_type, event_id) AS m FROM events GROUP BY user_id)
 SELECT left(string_split(m || ': ' || (user_id % 7), ':')[1], 50) AS bucket, count(*) AS n FROM e GROUP BY 1""")
 def error_buckets(spark: SparkSession, d: str) -> DataFrame:
     message = F.concat("m", F.lit(": "), (F.col("user_id") % 7).cast("string"))
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.min("event_type").alias("m"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("m"))
     return rows.groupBy(F.left(F.substring_index(message, ":", 1), F.lit(50)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -142,8 +142,9 @@ def error_buckets(spark: SparkSession, d: str) -> DataFrame:
 def report_order(spark: SparkSession, d: str) -> DataFrame:
     """Seeds by status and then number, with the round (block of ten) that they belong to."""
     rank = F.array_position(F.lit(["FAILED_FOUND", "EXHAUSTED", "ALREADY_HARD", "ERROR"]), F.col("status"))
-    seeds = _attempts(spark, d).select("user_id", "status").distinct()
-    return seeds.select("user_id", F.row_number().over(Window.orderBy(rank, "user_id")).alias("place"), F.expr("user_id div 10").alias("block"))
+    seeds = _attempts(spark, d).select("user_id", "status").distinct().withColumn("rank", rank)
+    placed = positions.numbered(seeds, ["rank", "user_id"], "place")
+    return placed.select("user_id", (F.col("place") + 1).cast("int").alias("place"), F.expr("user_id div 10").alias("block"))
 
 
 @query("SELECT user_id, bool_or(value > 200) AS fresh FROM events GROUP BY user_id")
@@ -196,14 +197,13 @@ def round_robin_shots(spark: SparkSession, d: str) -> DataFrame:
     return examples.round_robin(ranked, "source", "__rank", "doc_id", 12).select("doc_id", "turn")
 
 
-@query("""WITH s AS (SELECT doc_id AS ord, text AS question FROM documents WHERE doc_id < 3), f AS (SELECT doc_id AS ord, CASE WHEN doc_id = 5 THEN upper(t.text) ELSE d.text END AS question
- FROM documents d CROSS JOIN (SELECT text FROM documents WHERE doc_id = 1) t WHERE doc_id BETWEEN 4 AND 9)
-SELECT * FROM (SELECT 0 AS part, ord, question FROM s UNION ALL SELECT 1, ord, question FROM f WHERE ord <> 5) ORDER BY part, ord LIMIT 6""")
+@query(f"""WITH d AS (SELECT doc_id AS ord, text AS question, trim(regexp_replace(lower(text), '{SQL_SPACE}', ' ', 'g')) AS key, coalesce(toxic, 0) = 1 AS shot FROM documents LEFT JOIN labels USING (doc_id))
+SELECT CASE WHEN shot THEN 0 ELSE 1 END AS part, ord, question FROM d WHERE shot OR key NOT IN (SELECT key FROM d WHERE shot) ORDER BY part, ord LIMIT 200""")
 def topped_up_shots(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("question"))
-    same = F.broadcast(docs.filter("ord = 1").select(F.upper("question").alias("__same")))
-    defaults = docs.filter("ord BETWEEN 4 AND 9").join(same).select("ord", F.when(F.col("ord") == 5, F.col("__same")).otherwise(F.col("question")).alias("question"))
-    return examples.topped_up(docs.filter("ord < 3"), defaults, "question", 6)
+    """Toxic documents as shots, topped up to 200 with the others that say something else."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("question"), (F.coalesce("toxic", F.lit(0)) == 1).alias("shot"))
+    return examples.topped_up(rows.filter("shot").drop("shot"), rows.filter("NOT shot").drop("shot"), "question", 200)
 
 
 @query(f"""WITH {_CLUSTERS} SELECT source, CAST(row_number() OVER (ORDER BY CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END, k) AS INTEGER) AS place FROM c""")
