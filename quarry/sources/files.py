@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from quarry.storage import materialize
+
 _CORRUPT = "_corrupt_record"
 
 
@@ -78,3 +80,29 @@ def attempts(runs: DataFrame, results: str = "results", steps: str = "attempts")
     return inner.select(
         *rest, "result_pos", F.col("__result").dropFields(steps).alias("result"), "attempt_pos", "attempt", is_last.alias("is_last")
     )
+
+
+def shallowest(found: DataFrame, root: str, file: str = "file") -> DataFrame:
+    """Of documents found at any depth below `root`, those at the least depth that has any.
+
+    They are parsed once and written, as the depths are looked at before the documents.
+    """
+    depth = F.size(F.split(F.substring_index(F.col(file), root.rstrip("/") + "/", -1), "/"))
+    deep = materialize(found.withColumn("__depth", depth), "found")
+    return deep.join(deep.agg(F.min("__depth").alias("__least")), F.col("__depth") == F.col("__least"), "left_semi").drop("__depth")
+
+
+def harvest(runs: DataFrame, name: str = r"sample_\d+\.json$") -> DataFrame:
+    """The last attempt of each result that ended FAILED_FOUND, of run documents with a strict file name."""
+    steps = attempts(runs.filter(F.col("file").rlike(name)))
+    return steps.filter((F.col("result.final_status") == "FAILED_FOUND") & F.col("attempt").isNotNull() & F.col("is_last"))
+
+
+def run_samples(index: DataFrame, results: DataFrame, compares: DataFrame) -> DataFrame:
+    """Rows of a run's index with the first result of their file and its comparison; null where a file is missing or cannot be read.
+
+    `results` is (file, results), `compares` (file, compare), whose file ends in .compare.json.
+    """
+    first = results.select("file", F.get("results", F.lit(0)).alias("result"))
+    compared = compares.select(F.regexp_replace("file", r"\.compare\.json$", ".json").alias("file"), "compare")
+    return index.join(first, "file", "left").join(compared, "file", "left")
