@@ -22,7 +22,7 @@ from quarry.llm.workers import tidy
 from quarry.storage import materialize
 
 #: Rows of a chunk, anchors of a block, and bits of a digit.
-CHUNK_ROWS, BLOCK_ANCHORS, DIGIT_BITS = 4096, 1024, 12
+CHUNK_ROWS, BLOCK_ANCHORS, DIGIT_BITS = 4096, 1024, 16
 _LONG = np.iinfo(np.int64)
 _MATRIX = "ids binary, labels binary, dim int, data binary"
 
@@ -168,7 +168,9 @@ def _first(chunks: DataFrame, blocks: DataFrame, windows: DataFrame, k: int, sam
     state = materialize(windows.withColumns(start), "windows")
     along = Window.partitionBy("block", "w").orderBy("bucket")
     while not state.filter("phase < 2").isEmpty():
-        counted = _over_pairs(chunks, blocks, state, same, None, ["bucket", "n"]).groupBy("block", "w", "bucket").agg(F.sum("n").alias("n"))
+        # Chunks have counted already; one exchange by window serves the sum, the running sum and the join.
+        found = _over_pairs(chunks, blocks, state, same, None, ["bucket", "n"]).repartition("block", "w")
+        counted = found.groupBy("block", "w", "bucket").agg(F.sum("n").alias("n"))
         kth = counted.withColumn("through", F.sum("n").over(along)).join(state.filter("phase < 2").select("block", "w", "need"), ["block", "w"])
         kth = kth.filter("through >= need AND through - n < need").select("block", "w", "bucket", "n", (F.col("through") - F.col("n")).alias("above"))
         state = materialize(_refined(state.join(kth, ["block", "w"], "left"), id_shift), "windows")
