@@ -497,4 +497,4 @@ def selected_refs(spark: SparkSession, d: str) -> DataFrame:
     return traces.selected_refs(refs, "user_id", "event_id", "event_type", "title", "backref").drop("backref", "title")
 
 
-from quarry.plans import checks, literature, loop, outer, providers, replay  # noqa: E402, F401 - they register their queries
+from quarry.plans import checks, literature, loop, outer, providers, replay, reports  # noqa: E402, F401 - they register their queries
