@@ -23,6 +23,8 @@ from quarry.storage import materialize
 
 #: Rows of a chunk, anchors of a block, and bits of a digit.
 CHUNK_ROWS, BLOCK_ANCHORS, DIGIT_BITS = 4096, 1024, 16
+#: Blocks that a partition of the anchors holds.
+BLOCKS_A_PART = 16
 _LONG = np.iinfo(np.int64)
 _MATRIX = "ids binary, labels binary, dim int, data binary"
 
@@ -138,6 +140,8 @@ def _over_pairs(chunks: DataFrame, blocks: DataFrame, windows: DataFrame, same:
     """
     state = windows.groupBy("block").agg(F.collect_list(F.struct([c for c in windows.columns if c != "block"])).alias("windows"))
     anchors = blocks.join(state, "block").select("block", "windows", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "dim", "data")])
+    # Every partition of the anchors meets every partition of the chunks, so there are only as many as hold some blocks each.
+    anchors = anchors.coalesce(max(1, blocks.count() // BLOCKS_A_PART))
     pairs = chunks.select(*[F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "dim", "data")]).crossJoin(anchors)
 
     @tidy
