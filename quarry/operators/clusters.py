@@ -9,11 +9,11 @@ from quarry.functions.scalar import smoothed_weight, unit_hash
 
 
 def nodes(examples: DataFrame, spine: DataFrame, cluster: str, failed: str) -> DataFrame:
-    """Size, failures and failure rate of every cluster of `spine`, empty ones included (rate 0)."""
-    facts = examples.groupBy(cluster).agg(
+    """Size, failures and failure rate of every cluster of `spine`, empty ones included (rate 0); null is a cluster."""
+    facts = examples.groupBy(F.col(cluster).alias("__c")).agg(
         F.count(F.lit(1)).alias("num_questions"), F.count_if(F.col(failed)).alias("num_failed")
     )
-    joined = spine.select(cluster).join(facts, cluster, "left").na.fill(0, ["num_questions", "num_failed"])
+    joined = spine.select(cluster).join(facts, F.col(cluster).eqNullSafe(F.col("__c")), "left").drop("__c").na.fill(0, ["num_questions", "num_failed"])
     rate = F.when(F.col("num_questions") > 0, F.col("num_failed") / F.col("num_questions")).otherwise(0.0)
     return joined.withColumn("failure_rate", rate)
 
@@ -81,7 +81,12 @@ def allocate(strata: DataFrame, stratum: str, size: str, n: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, allocation: DataFrame, stratum: str, key: str, salt: str) -> DataFrame:
-    """The allocated number of rows of each stratum, those with the smallest keyed hash."""
+    """The allocated number of rows of each stratum, those with the smallest keyed hash; null is a stratum.
+
+    No stratum gives more than the largest allocation, so each task keeps as many of one before any is moved.
+    """
+    most = allocation.agg(F.max("allocated")).first()[0] or 0
     order = Window.partitionBy(stratum).orderBy(unit_hash(salt, F.col(key)), key)
-    placed = rows.withColumn("place", F.row_number().over(order))
-    return placed.join(F.broadcast(allocation.select(stratum, "allocated")), stratum).filter("place <= allocated").drop("allocated")
+    placed = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.lit(int(most)))
+    wanted = allocation.select(F.col(stratum).alias("__s"), F.col("allocated").alias("__n"))
+    return placed.join(wanted, F.col(stratum).eqNullSafe(F.col("__s"))).filter("place <= __n").drop("__s", "__n")

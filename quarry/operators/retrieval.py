@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import cosine_distance
+from quarry.operators.assigning import SEED_BYTES
 
 
 def papers(passages: DataFrame, metadata: DataFrame, key: str, meta_key: str, score: str, order: str, n: int) -> DataFrame:
@@ -25,11 +26,17 @@ def fresh_by_query(hits: DataFrame, base: DataFrame, key: str, query: str) -> Da
 
 
 def nearest_seed(vectors: DataFrame, seeds: DataFrame, vec_id: str, embedding: str, seed_id: str) -> DataFrame:
-    """The nearest of a few seed vectors and its cosine distance; ties to the smallest seed."""
-    pairs = vectors.join(F.broadcast(seeds.select(F.col(seed_id), F.col(embedding).alias("__seed"))))
-    distance = cosine_distance(F.col(embedding), F.col("__seed"))
-    best = pairs.select(vec_id, F.struct(distance.alias("distance"), F.col(seed_id).alias("seed")).alias("s"))
-    return best.groupBy(vec_id).agg(F.min("s").alias("s")).select(vec_id, F.col("s.seed").alias("seed"), F.col("s.distance").alias("distance"))
+    """The nearest of a few seed vectors and its cosine distance; ties to the smallest seed.
+
+    The seeds, of SEED_BYTES at most, are one array that every row meets, so nothing is shuffled.
+    """
+    size = seeds.agg(F.sum(F.size(embedding)) * 8).first()[0] or 0
+    if size > SEED_BYTES:
+        raise ValueError(f"seed vectors of {size} bytes, over {SEED_BYTES} (SEED_BYTES)")
+    held = seeds.agg(F.collect_list(F.struct(F.col(seed_id).alias("seed"), F.col(embedding).alias("vector"))).alias("__seeds"))
+    distances = F.transform("__seeds", lambda s: F.struct(cosine_distance(F.col(embedding), s["vector"]).alias("distance"), s["seed"].alias("seed")))
+    best = vectors.select(vec_id, embedding).crossJoin(F.broadcast(held)).select(vec_id, F.array_min(distances).alias("s"))
+    return best.filter("s IS NOT NULL").select(vec_id, F.col("s.seed").alias("seed"), F.col("s.distance").alias("distance"))
 
 
 def online_clusters(vectors: DataFrame, group: str, order: str, embedding: str, threshold: float) -> DataFrame:
@@ -66,10 +73,10 @@ def online_clusters(vectors: DataFrame, group: str, order: str, embedding: str,
 
 
 def group_normalised(rows: DataFrame, group: str, reward: str) -> DataFrame:
-    """(reward - mean) / population standard deviation within the group, by aggregate and join."""
-    stats = rows.groupBy(group).agg(F.avg(reward).alias("__m"), F.stddev_pop(reward).alias("__s"))
+    """(reward - mean) / population standard deviation within the group, by aggregate and join; null is a group."""
+    stats = rows.groupBy(F.col(group).alias("__g")).agg(F.avg(reward).alias("__m"), F.stddev_pop(reward).alias("__s"))
     value = F.when(F.col("__s") > 0, (F.col(reward) - F.col("__m")) / F.col("__s")).otherwise(0.0)
-    return rows.join(stats, group).withColumn("advantage", value).drop("__m", "__s")
+    return rows.join(stats, F.col(group).eqNullSafe(F.col("__g"))).withColumn("advantage", value).drop("__g", "__m", "__s")
 
 
 def attempt_numbers(events: DataFrame, seed: str, order: list[str]) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import clusters, dedup, examples, loops, retrieval, review, traces
+from quarry.operators import clusters, dedup, examples, loops, positions, retrieval, review, traces
 from quarry.plans.registry import ORACLE_SQL, QUERIES, SQL_SPACE, query, table
+from quarry.storage import materialize
 from quarry.streaming import call_log
 
 
@@ -425,8 +426,8 @@ SELECT page_id, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS number FR
 def citation_numbering(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", scalar.url_host(F.col("url")).alias("host"))
     first = pages.groupBy("host").agg(F.min("page_id").alias("first"))
-    numbered = first.select("host", F.row_number().over(Window.orderBy("first")).alias("number"))
-    return pages.join(numbered, "host").select("page_id", "number")
+    placed = positions.numbered(first, ["first"], "number").select(F.col("host").alias("__h"), (F.col("number") + 1).cast("int").alias("number"))
+    return pages.join(placed, F.col("host").eqNullSafe(F.col("__h"))).select("page_id", "number")
 
 
 @query("""SELECT event_id, round(CASE WHEN s > 0 THEN (value - m) / s ELSE 0 END, 6) AS advantage FROM events
@@ -470,7 +471,8 @@ SELECT user_id, CASE WHEN broke = 0 THEN 'ALREADY_HARD' WHEN broke <= 5 THEN 'FA
 CAST(CASE WHEN broke <= 5 THEN broke WHEN n > 5 THEN 5 ELSE n END AS INTEGER) AS attempts FROM s""")
 def attempt_statuses(spark: SparkSession, d: str) -> DataFrame:
     verdict = F.when(F.col("event_type") == "error", "FAILED").otherwise("PASSED")
-    events = _attempts(spark, d).withColumn("verdict", verdict)
+    # Numbered once: every attempt reads the written table.
+    events = materialize(_attempts(spark, d).select("user_id", "attempt", verdict.alias("verdict")), "attempts")
 
     def attempt(open_seeds: DataFrame, n: int) -> DataFrame:
         return events.filter(F.col("attempt") == n).join(open_seeds, "user_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalar
 from quarry.operators import assigning, constraints
 from quarry.plans.registry import SQL_SPACE, query, table
-from quarry.sources import sinks
+from quarry.sources import responses, sinks
 from quarry.storage import fresh_path
 
 _KEY = f"trim(regexp_replace(lower(text), '{SQL_SPACE}', ' ', 'g'))"
@@ -117,3 +117,22 @@ def replaced_split(spark: SparkSession, d: str) -> DataFrame:
     for part in (docs, docs.filter("n_chars > 1000")):
         sinks.replace_split(part, root, "train", "doc_id", ["doc_id", "lang", "clarity"])
     return sinks.read_split(spark, root, "train", "doc_id bigint, lang string, clarity string")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT o_custkey::VARCHAR AS request, CAST(place AS INTEGER) AS place, 'P' || o_orderkey AS title, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS tries
+FROM o WHERE o_custkey % 7 <> 0""")
+def recorded_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Papers of recorded searches, one a customer: some were asked twice, some never answered, and other endpoints are not read."""
+    orders, path = table(spark, d, "orders"), fresh_path(spark, "responses")
+    paper = F.struct("o_orderkey", F.to_json(F.struct(F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("title"), F.year("o_orderdate").alias("year"))).alias("json"))
+    found = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list(paper)).alias("p"))
+    body = F.concat(F.lit('{"data":['), F.array_join("p.json", ","), F.lit("]}"))
+    key = F.col("c")
+    statuses = F.when(key % 7 == 0, F.array(F.lit(500), F.lit(503), F.lit(429))).when(key % 5 == 0, F.array(F.lit(429), F.lit(200))).otherwise(F.array(F.lit(200)))
+    tries = found.select(key.cast("string").alias("request"), body.alias("__body"), F.posexplode(statuses).alias("attempt", "status")).withColumn("body", F.when(F.col("status") == 200, F.col("__body")).otherwise("busy"))
+    responses.record(tries.withColumn("endpoint", F.lit("search")), path)
+    responses.record(tries.withColumns({"endpoint": F.lit("total"), "body": F.lit('{"total": 3}')}), path)
+    settled = responses.settled(responses.recorded(spark, path, "search"), 3)
+    told = responses.papers(settled)
+    return told.join(settled.select("request", "tries"), "request").select("request", "place", "paper.title", "paper.year", "tries")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from quarry.operators.constraints import duplicates, require_none
 from quarry.storage import materialize
 
 _CORRUPT = "_corrupt_record"
@@ -106,3 +107,45 @@ def run_samples(index: DataFrame, results: DataFrame, compares: DataFrame) -> Da
     first = results.select("file", F.get("results", F.lit(0)).alias("result"))
     compared = compares.select(F.regexp_replace("file", r"\.compare\.json$", ".json").alias("file"), "compare")
     return index.join(first, "file", "left").join(compared, "file", "left")
+
+
+def seeds(spark: SparkSession, path: str, column: str = "question") -> DataFrame:
+    """(seed) of a text file by lines, a JSON list of texts that may hold line ends, or a Parquet dataset's column; blank ones left out.
+
+    The kind is the path's ending: .txt, .json, or anything else for a dataset.
+    """
+    if path.endswith(".txt"):
+        return lines(spark, path).withColumnRenamed("line", "seed")
+    if path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True)
+        found = whole.select(F.explode(F.from_json("value", "array<string>")).alias("seed"))
+    else:
+        found = spark.read.parquet(path).select(F.col(column).alias("seed"))
+    return found.filter(F.trim(F.coalesce("seed", F.lit(""))) != "")
+
+
+#: A fixed value: what a system may be called, as its name is part of paths.
+SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+
+
+def systems(spark: SparkSession, path: str, timeout: float, concurrency: int) -> DataFrame:
+    """Systems (name, profile, server_url, timeout, concurrency, share, kind, model, allowed_domains) of a JSON list, defaults filled in.
+
+    A name that is missing, repeated or no safe file name, and a share outside 0 to 1, is an error that says which.
+    """
+    schema = "name string, profile string, server_url string, timeout double, concurrency int, share double, kind string, model string, allowed_domains array<string>"
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    filled = found.na.fill({"timeout": timeout, "concurrency": concurrency}).withColumn("kind", F.coalesce("kind", F.lit("server")))
+    require_none(filled.filter(~F.coalesce(F.col("name").rlike(SAFE_NAME), F.lit(False))).select("name"), "no safe name")
+    require_none(filled.filter("share < 0 OR share > 1").select("name", "share"), "share outside 0 to 1")
+    require_none(duplicates(filled, "name"), "repeated name")
+    return filled
+
+
+def worked_examples(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """Worked examples of a JSON list of objects in the list's order, all `fields` texts that must not be blank."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.posexplode(F.from_json("value", f"array<struct<{','.join(f'{f}:string' for f in fields)}>>", {"mode": "FAILFAST"})).alias("ord", "e")).select("ord", "e.*")
+    blank = F.greatest(*[(F.trim(F.coalesce(f, F.lit(""))) == "") for f in fields])
+    require_none(rows.filter(blank).select("ord"), "example with a blank field")
+    return rows

@@ -130,3 +130,18 @@ def read_split(spark: SparkSession, root: str, split: str, schema: str) -> DataF
         if exists(spark, f"{root.rstrip('/')}/{split}{end}/_SUCCESS"):
             return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{split}{end}")
     return spark.createDataFrame([], schema)
+
+
+def append_kinds(rows: DataFrame, path: str, run_id: str) -> None:
+    """Append records of several kinds to one log, a folder a kind, each with the run and the time of its write where it has none."""
+    filled = rows
+    for name, value in (("run_id", F.lit(run_id)), ("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))):
+        filled = filled.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
+    filled.write.mode("append").partitionBy("kind").json(path)
+
+
+def write_menu(items: DataFrame, order: str, text: str, header: str, path: str) -> None:
+    """A menu as a text file under a commented header, a line each in `order`, whole or not at all; a menu is small."""
+    rows = items.orderBy(order).select(F.regexp_replace(text, r"\s+", " ").alias("line"))
+    lines = [f"# {header}", *(r.line for r in rows.toLocalIterator())]
+    write_document(items.sparkSession, "\n".join(lines) + "\n", path)

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import assigning, constraints
-from quarry.sources import files, sinks
+from quarry.operators import assigning, clusters, constraints, retrieval
+from quarry.sources import files, responses, sinks
 from quarry.storage import fresh_path
 
 
@@ -173,3 +173,58 @@ def test_run_samples(spark):
     results = spark.createDataFrame([("a.json", ["first", "second"])], "file string, results array<string>")
     compares = spark.createDataFrame([("b.compare.json", "better")], "file string, compare string")
     assert sorted(map(tuple, files.run_samples(index, results, compares).collect())) == [("a.json", 1, "first", None), ("b.json", 2, None, "better")]
+
+
+def test_recorded_responses(spark):
+    path = fresh_path(spark, "responses")
+    rows = [("a", 0, 429, "busy"), ("a", 1, 200, '{"data":[{"title":"T","authors":[{"name":"N"}]},{"title":null}]}'), ("b", 0, 404, '{"data":[{"title":"no"}]}'), ("b", 1, 200, '{"data":[]}'), ("c", 0, 500, None), ("c", 1, 503, None), ("d", 3, 200, '{"total": 7}'), ("e", 0, 200, "broken"), ('["x","y"]', 0, 200, '[null,{"title":"Y"}]')]
+    tries = spark.createDataFrame(rows, "request string, attempt int, status int, body string")
+    responses.record(tries.withColumn("endpoint", F.lit("search")), path)
+    responses.record(tries.limit(0).withColumn("endpoint", F.lit("total")), path)
+    read = responses.recorded(spark, path, "search")
+    assert "PartitionFilters: [isnotnull(endpoint" in read._jdf.queryExecution().toString()
+    answers = responses.settled(read, 3)
+    assert {r.request: (r.status, r.tries, r.body is None) for r in answers.collect()} == {"a": (200, 2, False), "b": (404, 1, True), "c": (503, 2, True), "e": (200, 1, False), '["x","y"]': (200, 1, False)}
+    assert sorted((r.request, r.place, r.paper.title) for r in responses.papers(answers.filter("request IN ('a', 'b', 'c', 'e')")).collect()) == [("a", 0, "T"), ("a", 1, None)]
+    assert [r.total for r in responses.totals(responses.settled(read, 4).filter("request IN ('c', 'd')")).orderBy("request").collect()] == [None, 7]
+    assert [(r.id, r.paper and r.paper.title) for r in responses.batch(answers.filter("request LIKE '[%'")).collect()] == [("x", None), ("y", "Y")]
+
+
+def test_configuration_files(spark, tmp_path):
+    put = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    assert [r.seed for r in files.seeds(spark, put("s.txt", " a \n\nb\n")).collect()] == ["a", "b"]
+    assert [r.seed for r in files.seeds(spark, put("s.json", '["one\\ntwo", "", null, "x"]')).collect()] == ["one\ntwo", "x"]
+    spark.createDataFrame([("q",), ("",), (None,)], "question string").write.parquet(str(tmp_path / "set"))
+    assert [r.seed for r in files.seeds(spark, str(tmp_path / "set")).collect()] == ["q"]
+    good = files.systems(spark, put("y.json", '[{"name":"a","share":0.5},{"name":"b","timeout":9}]'), 5.0, 2).orderBy("name").collect()
+    assert [(r.name, r.timeout, r.concurrency, r.share, r.kind) for r in good] == [("a", 5.0, 2, 0.5, "server"), ("b", 9.0, 2, None, "server")]
+    for text, what in (('[{"name":"a"},{"name":"a"}]', "repeated name"), ('[{"name":"../a"}]', "no safe name"), ('[{"share":0.1}]', "no safe name"), ('[{"name":"a","share":2}]', "share")):
+        with pytest.raises(constraints.BrokenRule, match=what):
+            files.systems(spark, put("bad.json", text), 5.0, 2)
+    shots = put("shots.json", '[{"q":"a","s":"b"},{"q":"c","s":"d"}]')
+    assert [(r.ord, r.q, r.s) for r in files.worked_examples(spark, shots, ("q", "s")).collect()] == [(0, "a", "b"), (1, "c", "d")]
+    with pytest.raises(constraints.BrokenRule, match="blank"):
+        files.worked_examples(spark, put("shots2.json", '[{"q":"a"}]'), ("q", "s"))
+
+
+def test_kinds_and_menus(spark, tmp_path):
+    rows = spark.createDataFrame([("call", 1, None), ("verdict", 2, "r0")], "kind string, n int, run_id string")
+    for _ in range(2):
+        sinks.append_kinds(rows, str(tmp_path / "log"), "r1")
+    found = spark.read.json(str(tmp_path / "log")).collect()
+    assert sorted((r.kind, r.n, r.run_id) for r in found) == [("call", 1, "r1")] * 2 + [("verdict", 2, "r0")] * 2 and all(r.timestamp for r in found)
+    sinks.write_menu(spark.createDataFrame([(2, "b\nc"), (1, "a")], "o int, t string"), "o", "t", "menu", str(tmp_path / "menu.txt"))
+    assert (tmp_path / "menu.txt").read_text() == "# menu\na\nb c\n"
+    assert [r.line for r in files.lines(spark, str(tmp_path / "menu.txt"), comments=True).collect()] == ["a", "b c"]
+
+
+def test_null_is_a_group(spark):
+    rows = spark.createDataFrame([(None, 1.0, True), (None, 3.0, False), ("a", 5.0, False)], "g string, r double, failed boolean")
+    assert sorted(x.advantage for x in retrieval.group_normalised(rows, "g", "r").collect()) == [-1.0, 0.0, 1.0]
+    found = clusters.nodes(rows, rows.select("g").distinct(), "g", "failed").collect()
+    assert {r.g: (r.num_questions, r.num_failed) for r in found} == {None: (2, 1), "a": (1, 0)}
+    allocation = spark.createDataFrame([(None, 1), ("a", 1)], "g string, allocated int")
+    assert clusters.stratified_sample(rows, allocation, "g", "r", "x").count() == 2
+    seeds = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (0, [2.0, 0.0])], "s int, e array<double>")
+    vectors = spark.createDataFrame([(9, [3.0, 0.0]), (8, [0.0, 0.0])], "v int, e array<double>")
+    assert sorted(map(tuple, retrieval.nearest_seed(vectors, seeds, "v", "e", "s").collect())) == [(8, 0, 1.0), (9, 0, 0.0)]
