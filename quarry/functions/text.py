@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarry.functions.scalar import SPACE
+from quarry.functions.scalar import SPACE, strip
 
 
 def words(text: Column) -> Column:
@@ -138,6 +138,23 @@ def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
 
 
+def rendered_shots(shots: Column, question: str, fields: tuple[str, ...]) -> Column:
+    """Worked examples as a prompt shows them: the seed question, then a JSON object of the fields that hold text, a line each."""
+    def block(s: Column) -> Column:
+        quoted = {f: F.to_json(F.array(s[f])) for f in fields}
+        lines = [F.when(F.coalesce(s[f], F.lit("")) != "", F.concat(F.lit(f'"{f}": '), F.substr(quoted[f], F.lit(2), F.length(quoted[f]) - 2))) for f in fields]
+        held = F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), ",\n")
+        body = F.when(held == "", "{}").otherwise(F.concat(F.lit("{\n"), held, F.lit("\n}")))
+        return F.concat(F.lit("Seed Question: "), strip(F.coalesce(s[question], F.lit(""))), F.lit("\n"), body)
+
+    return F.array_join(F.transform(shots, block), "\n\n")
+
+
+def filled(template: Column, sentinel: str, value: Column) -> Column:
+    """The template with every sentinel replaced; one without it stays as it is."""
+    return F.replace(template, F.lit(sentinel), value)
+
+
 def listed(items: Column) -> Column:
     """An array as a phrase: commas, and before the last "and"."""
     n = F.size(items)

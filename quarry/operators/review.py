@@ -65,3 +65,19 @@ def failed_by_all(verdicts: DataFrame, n_samples: int | Column, missing_fails: b
     full = verdicts.groupBy("system").agg(F.count("verdict").alias("n")).filter(F.col("n") * 2 >= n_samples).select("system")
     fails = F.coalesce(F.col("verdict") == "FAILED", F.lit(missing_fails))
     return verdicts.join(F.broadcast(full), "system").groupBy("id").agg(F.bool_and(fails).alias("failed_by_all"))
+
+
+def coverage(verdicts: DataFrame, sample: str, system: str, verdict: str) -> DataFrame:
+    """(system, answered, is_full, complete, failed_by_all) of verdicts, a row a sample and system.
+
+    A system is full if it answered at least half of the samples; the two counts, the same in
+    every row, look at full systems only: samples they have all answered, and all failed.  Without a full
+    system both are 0.
+    """
+    n = verdicts.select(sample).distinct().count()
+    told = verdicts.groupBy(system).agg(F.count(verdict).alias("answered")).withColumn("is_full", F.col("answered") * 2 >= F.lit(n))
+    full = told.filter("is_full").select(system)
+    kept = verdicts.join(full, system, "left_semi").groupBy(sample).agg(F.count(verdict).alias("a"), F.count_if(F.col(verdict) == "FAILED").alias("f"))
+    size = full.agg(F.count(F.lit(1)).alias("k"))
+    sums = kept.join(F.broadcast(size)).agg(F.count_if((F.col("a") == F.col("k")) & (F.col("k") > 0)).alias("complete"), F.count_if((F.col("f") == F.col("k")) & (F.col("k") > 0)).alias("failed_by_all"))
+    return told.join(F.broadcast(sums))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar
-from quarry.operators import clusters, explorer, reports
+from quarry.functions import text as texts
+from quarry.operators import answers, clusters, examples, explorer, reports, review
 from quarry.plans.loop import _CLUSTERS, _descriptions
 from quarry.plans.registry import SQL_SPACE, query, table
 
@@ -137,8 +138,6 @@ def clusters_on_menu(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT lower(strategy) AS key, arg_min(strategy, part * 1000 + ord) AS strategy, min(part * 1000 + ord) AS first FROM b GROUP BY 1) SELECT strategy, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position FROM f""")
 def cluster_seeds(spark: SparkSession, d: str) -> DataFrame:
     """What the next feedback is clustered against: all strategies, then base bans that say something else."""
-    from quarry.operators import examples  # noqa: PLC0415
-
     rows = _descriptions(spark, d)
     strategies = rows.select(F.col("k").alias("ord"), examples.clean_description(F.col("description")).alias("strategy"))
     bans = rows.select(F.col("k").alias("ord"), F.when(F.col("k") % 3 == 0, _join("plan ", F.col("source"))).otherwise(_join("Ban ", F.col("source"))).alias("strategy"))
@@ -231,3 +230,71 @@ def benchmark_samples(spark: SparkSession, d: str) -> DataFrame:
         "id", "target_system", "source", slot["answer"]["text"].alias("answer"), slot["answer"]["answer_source"].alias("answer_source"), slot["judgment"]["verdict"].alias("verdict"), slot["judgment"]["judgment_source"].alias("judgment_source"),
         "generation.vc_rewritten_inline", F.col("filter.question_review.verdict").alias("question_review"), F.size("systems").alias("slots"), F.size(F.map_filter("systems", lambda _, v: v.isNotNull())).alias("filled"), "error",
     )
+
+
+@query("""WITH u AS (SELECT seed, item, weight, (('0x' || substr(md5('menu' || seed || '|' || item), 1, 12))::BIGINT + 0.5) / 281474976710656 AS u
+ FROM (SELECT DISTINCT lang AS seed FROM documents) CROSS JOIN (SELECT source AS item, CAST(count(*) AS DOUBLE) AS weight FROM documents GROUP BY source)),
+m AS (SELECT seed, item, weight FROM u QUALIFY row_number() OVER (PARTITION BY seed ORDER BY ln(u) / weight DESC, item) <= 6),
+t AS (SELECT seed, 'Plan ' || substr(item, 1, 4) AS s, CAST(weight AS BIGINT) AS r FROM m UNION ALL SELECT DISTINCT seed, 'Something else', 4611686018427387904 FROM m),
+f AS (SELECT seed, s, min(r) AS r FROM t GROUP BY 1, 2) SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY r, s) AS INTEGER) AS position, s AS strategy FROM f""")
+def presented_menus(spark: SparkSession, d: str) -> DataFrame:
+    """Each seed's drawn strategies in rank order, repeats once, the open end last."""
+    docs = table(spark, d, "documents")
+    pool = docs.groupBy(F.col("source").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    drawn = clusters.weighted_menus(docs.select(F.col("lang").alias("seed")).distinct(), pool, "seed", "item", "weight", 6, "menu")
+    rows = drawn.select("seed", F.concat(F.lit("Plan "), F.substring("item", 1, 4)).alias("strategy"), F.col("weight").alias("rank"))
+    return examples.presented(rows, "seed", "rank", "strategy", "Something else")
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt FROM events), f AS (SELECT user_id, min(attempt) AS first FROM a WHERE event_type = 'error' GROUP BY user_id)
+SELECT user_id, event_id, CAST(attempt AS INTEGER) AS attempt FROM a LEFT JOIN f USING (user_id) WHERE first IS NULL OR attempt <= first""")
+def attempts_to_failure(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of each seed up to its first failure."""
+    from quarry.operators import retrieval  # noqa: PLC0415
+
+    numbered = retrieval.attempt_numbers(table(spark, d, "events"), "user_id", ["ts", "event_id"])
+    return examples.to_first_failure(numbered, "user_id", "attempt", F.col("event_type") == "error").select("user_id", "event_id", "attempt")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Plan ' || source WHEN 1 THEN 'EXHAUSTED ' || source ELSE source || ' | rest' END AS strategy FROM documents""")
+def shot_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Strategies as worked examples show them: without the mark of an exhausted seed."""
+    key = F.col("doc_id") % 3
+    marked = F.when(key == 0, _join("EXHAUSTED (no failing answer found) | Plan ", F.col("source"))).when(key == 1, _join("EXHAUSTED ", F.col("source"))).otherwise(_join(F.col("source"), " | rest"))
+    return table(spark, d, "documents").select("doc_id", examples.shot_strategy(marked).alias("strategy"))
+
+
+@query("""WITH b AS (SELECT item_id, item_id % 4 AS g, trim(left(coalesce(text, ''), 20)) AS t FROM benchmark)
+SELECT g, 'Before' || chr(10) || string_agg('Seed Question: ' || t || chr(10) || CASE WHEN item_id % 3 = 0 THEN '{}' ELSE '{' || chr(10) || '"chosen_strategy": "S' || item_id || '"' || CASE WHEN item_id % 3 = 1 THEN ',' || chr(10) || '"why_harder": "says \\"' || item_id || '\\""' ELSE '' END || chr(10) || '}' END, chr(10) || chr(10) ORDER BY item_id) || chr(10) || 'After' AS prompt
+FROM b GROUP BY g""")
+def prompts_with_shots(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts whose sentinel gives way to worked examples."""
+    items, n = table(spark, d, "benchmark"), F.col("item_id")
+    shot = F.struct(n, F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("seed_question"), F.when(n % 3 != 0, _join("S", n)).alias("chosen_strategy"), F.when(n % 3 == 1, _join('says "', n, '"')).otherwise("").alias("why_harder"))
+    grouped = items.groupBy((n % 4).alias("g")).agg(F.array_sort(F.collect_list(shot)).alias("shots"))
+    rendered = texts.rendered_shots(F.col("shots"), "seed_question", ("chosen_strategy", "why_harder"))
+    return grouped.select("g", texts.filled(F.lit("Before\n{FEW_SHOT_EXAMPLES}\nAfter"), "{FEW_SHOT_EXAMPLES}", rendered).alias("prompt"))
+
+
+@query("""WITH h AS (SELECT conv_id, turn, 'http://x/' || turn AS url FROM conversations WHERE turn % 2 = 0),
+v AS (SELECT conv_id, 'http://x/' || turn AS url FROM conversations WHERE conv_id % 3 = 0 AND turn % 2 = 1)
+SELECT conv_id, url FROM v UNION ALL SELECT conv_id, url FROM h WHERE conv_id NOT IN (SELECT conv_id FROM v) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3""")
+def pool_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that were visited, and of conversations without any the first three search hits."""
+    turns = table(spark, d, "conversations").withColumn("url", _join("http://x/", F.col("turn")))
+    visited = turns.filter("conv_id % 3 = 0 AND turn % 2 = 1")
+    return answers.first_or_pool(visited, turns.filter("turn % 2 = 0"), "conv_id", "turn", 3)
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(['a', 'b', 'c']) AS system, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+v AS (SELECT doc_id, system, CASE system WHEN 'a' THEN CASE quality WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PASSED' END WHEN 'b' THEN CASE WHEN doc_id % 4 > 0 THEN 'FAILED' END ELSE CASE WHEN doc_id % 4 < 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'FAILED' ELSE 'PASSED' END END END AS verdict FROM s),
+c AS (SELECT system, count(verdict) AS answered, count(verdict) * 2 >= (SELECT count(*) FROM documents) AS is_full FROM v GROUP BY system),
+k AS (SELECT doc_id, count(verdict) AS a, count(CASE WHEN verdict = 'FAILED' THEN 1 END) AS f FROM v JOIN c USING (system) WHERE is_full GROUP BY doc_id)
+SELECT system, answered, is_full, (SELECT count(*) FROM k WHERE a = (SELECT count(*) FROM c WHERE is_full)) AS complete, (SELECT count(*) FROM k WHERE f = (SELECT count(*) FROM c WHERE is_full)) AS failed_by_all FROM c""")
+def system_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many samples each system answered, whether it counts as full, and what the full ones have all answered and all failed."""
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").withColumn("system", F.explode(F.array(*[F.lit(x) for x in "abc"])))
+    key = F.col("doc_id")
+    own = F.when(F.col("quality") == 0, "FAILED").when(F.col("quality") == 1, "PASSED")
+    verdict = F.when(F.col("system") == "a", own).when(F.col("system") == "b", F.when(key % 4 > 0, "FAILED")).otherwise(F.when(key % 4 < 2, F.when(key % 3 == 0, "FAILED").otherwise("PASSED")))
+    return review.coverage(rows.select("doc_id", "system", verdict.alias("verdict")), "doc_id", "system", "verdict")

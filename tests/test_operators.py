@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "part", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
