@@ -22,3 +22,9 @@ assert "strategy_ranking" in q and not any(n.startswith("op1_") for n in q) and
 @pytest.mark.parametrize("name", ["quarry.llm", "corpus_pipeline", "zstandard", "public_tokenizers"])
 def test_core_queries_stay(name):
     subprocess.run([sys.executable, "-c", BLOCK.format(name=name)], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["quarry.llm.bpe", "quarry.storage", "pyarrow"])
+def test_a_broken_module_is_not_swallowed(name):
+    done = subprocess.run([sys.executable, "-c", BLOCK.format(name=name)], cwd=ROOT, capture_output=True, timeout=120, check=False)
+    assert done.returncode and b"blocked" in done.stderr
