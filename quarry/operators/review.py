@@ -81,3 +81,28 @@ def coverage(verdicts: DataFrame, sample: str, system: str, verdict: str) -> Dat
     size = full.agg(F.count(F.lit(1)).alias("k"))
     sums = kept.join(F.broadcast(size)).agg(F.count_if((F.col("a") == F.col("k")) & (F.col("k") > 0)).alias("complete"), F.count_if((F.col("f") == F.col("k")) & (F.col("k") > 0)).alias("failed_by_all"))
     return told.join(F.broadcast(sums))
+
+
+def decision_tables(rows: DataFrame, keys: list[str], decision: str, costs: str) -> DataFrame:
+    """(key, value, decision, n, cost) of decisions by each of several keys, and over all (key `all`), in one pass.
+
+    A null value or decision is one of its own, shown as null.
+    """
+    sets = [[decision, k] for k in keys] + [[decision]]
+    rolled = rows.groupingSets([[F.col(c) for c in one] for one in sets], *[F.col(c) for c in [decision, *keys]])
+    counted = rolled.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(costs), 4).alias("cost"), *[F.grouping(k).alias(f"__{k}") for k in keys])
+    name = value = None
+    for k in keys:
+        here = F.col(f"__{k}") == 0
+        name = F.when(here, k) if name is None else name.when(here, k)
+        value = F.when(here, F.col(k).cast("string")) if value is None else value.when(here, F.col(k).cast("string"))
+    return counted.select(name.otherwise("all").alias("key"), value.alias("value"), decision, "n", "cost")
+
+
+def review_counters(rows: DataFrame) -> DataFrame:
+    """One row of a review's counters: items, judged, errors, passes, revisions, rejections, missing rewrites, skipped by reason."""
+    is_ = lambda d: F.count_if(F.col("decision") == d)
+    return rows.agg(
+        F.count(F.lit(1)).alias("items"), F.count("model").alias("judged"), is_("error").alias("errors"), is_("pass").alias("passes"), is_("revise").alias("revisions"), is_("reject").alias("rejections"),
+        F.count_if("missing_rewrite").alias("missing_rewrites"), F.count_if(F.col("skip_reason") == "too_long").alias("too_long"), F.count_if(F.col("skip_reason") == "criterion_satisfied").alias("satisfied"),
+    )

@@ -298,3 +298,30 @@ def system_coverage(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(F.col("quality") == 0, "FAILED").when(F.col("quality") == 1, "PASSED")
     verdict = F.when(F.col("system") == "a", own).when(F.col("system") == "b", F.when(key % 4 > 0, "FAILED")).otherwise(F.when(key % 4 < 2, F.when(key % 3 == 0, "FAILED").otherwise("PASSED")))
     return review.coverage(rows.select("doc_id", "system", verdict.alias("verdict")), "doc_id", "system", "verdict")
+
+
+_DECIDED = """d AS (SELECT doc_id, lang, source, n_chars, CASE WHEN quality IS NULL THEN 'error' WHEN quality = 0 AND toxic = 1 THEN 'reject' WHEN quality = 0 THEN 'revise' ELSE 'pass' END AS decision,
+ CASE WHEN quality IS NOT NULL THEN 'm' END AS model, coalesce(quality = 0 AND doc_id % 2 = 0, false) AS missing_rewrite, CASE WHEN n_chars > 3000 THEN 'too_long' WHEN doc_id % 9 = 0 THEN 'criterion_satisfied' END AS skip_reason
+ FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    bad = F.col("quality") == 0
+    decision = F.when(F.col("quality").isNull(), "error").when(bad & (F.col("toxic") == 1), "reject").when(bad, "revise").otherwise("pass")
+    reason = F.when(F.col("n_chars") > 3000, "too_long").when(F.col("doc_id") % 9 == 0, "criterion_satisfied")
+    return docs.select("doc_id", "lang", "source", "n_chars", decision.alias("decision"), F.when(F.col("quality").isNotNull(), "m").alias("model"), F.coalesce(bad & (F.col("doc_id") % 2 == 0), F.lit(False)).alias("missing_rewrite"), reason.alias("skip_reason"))
+
+
+@query(f"""WITH {_DECIDED} SELECT 'lang' AS key, lang AS value, decision, count(*) AS n, round(sum(n_chars / 1000), 4) AS cost FROM d GROUP BY lang, decision UNION ALL SELECT 'source', source, decision, count(*), round(sum(n_chars / 1000), 4) FROM d GROUP BY source, decision
+UNION ALL SELECT 'skip_reason', skip_reason, decision, count(*), round(sum(n_chars / 1000), 4) FROM d GROUP BY skip_reason, decision UNION ALL SELECT 'all', NULL, decision, count(*), round(sum(n_chars / 1000), 4) FROM d GROUP BY decision""")
+def decision_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions by system, by strategy and by skip reason, and over all, with what they cost."""
+    rows = _decided(spark, d).withColumn("cost", F.col("n_chars") / 1000)
+    return review.decision_tables(rows, ["lang", "source", "skip_reason"], "decision", "cost")
+
+
+@query(f"""WITH {_DECIDED} SELECT count(*) AS items, count(model) AS judged, count(CASE WHEN decision = 'error' THEN 1 END) AS errors, count(CASE WHEN decision = 'pass' THEN 1 END) AS passes, count(CASE WHEN decision = 'revise' THEN 1 END) AS revisions,
+ count(CASE WHEN decision = 'reject' THEN 1 END) AS rejections, count(CASE WHEN missing_rewrite THEN 1 END) AS missing_rewrites, count(CASE WHEN skip_reason = 'too_long' THEN 1 END) AS too_long, count(CASE WHEN skip_reason = 'criterion_satisfied' THEN 1 END) AS satisfied FROM d""")
+def review_counters(spark: SparkSession, d: str) -> DataFrame:
+    return review.review_counters(_decided(spark, d))
