@@ -3,14 +3,18 @@
 Every text has six independent 64-bit SimHash fingerprints of its words (all words, weighted
 by 1 + ln of how often they occur).  The covering masks of `simhash` put two texts into a
 common bucket in some table wherever one of the six pairs of fingerprints differs in three
-bits or fewer; the six together reach what one alone would miss at a similarity of 0.8.  The
-fingerprints only propose: a link is confirmed by the exact similarity of the two sets of
-shingle hashes.
+bits or fewer; the six together reach what one alone would miss at a similarity of 0.8.  One
+inserted or replaced passage moves more word weight than scattered words do at the same
+similarity, but it leaves one half of the text as it was, so texts that begin or end alike
+over a quarter to a half of their length meet as well.  The fingerprints only propose: a
+link is confirmed by the exact similarity of the two sets of shingle hashes.
 
 Each text is first checked against its
 bucket's pivot; in buckets that then still hold several components a forest of the closest
-texts is checked, and after that what pairs are left between different components.  That
-last round grows with the square of a group of texts that are alike but under the threshold.
+texts is checked, and after that what pairs are left between different components.  Both
+leave out pairs whose similarity, estimated from the least shingle hashes of 256 ranges, is
+far under the threshold.  That last round still grows with the square of a group of texts
+that are all alike just under the threshold.
 """
 
 from __future__ import annotations
@@ -35,6 +39,12 @@ PRINTS, RADIUS = 6, 3
 #: Differing bits of all six fingerprints above which a pair is not checked.  Sets at 0.8 lie at an angle
 #: of 0.476 at most, so 58 of the 384 bits differ, with a standard error of 7: this is four of them above.
 MOST_BITS = 86
+#: Ranges of shingle hashes of which a text keeps the least one's byte.
+BINS = 256
+#: How far under the threshold an estimate may lie: at 0.8 its standard error is 0.025, so this is four of them.
+SLACK = 0.1
+#: Words that two texts must begin or end with to meet, and how much longer than the other one text of a link can be.
+LEAST_SEGMENT, LONGER = 8, 1.25
 #: Differing bits up to which a pair may stand in the forest that is checked before all others.
 CLOSE_BITS = 45
 #: Rows of a bucket compared in one task; of larger ones every two blocks meet.
@@ -64,22 +74,44 @@ def sketch(words: list[bytes]) -> list[int]:
     return np.packbits(total * 2 > weights.sum(dtype=np.float64)).view(">i8").tolist()
 
 
+def least_hashes(members: np.ndarray) -> list[int]:
+    """A byte from 1 to 255 of the least of the sorted shingle hashes in each of BINS ranges, 0 in an empty one, eight to an integer."""
+    ranges, first = np.unique(members >> np.uint32(24), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[ranges] = members[first] % np.uint32(255) + 1
+    return out.view("<i8").tolist()
+
+
+def segments(words: list[bytes]) -> list[int]:
+    """Hashes of the text's first and last words, over the largest power of two that is at most half of them.
+
+    A text that a shorter one of a smaller power may link to is cut to that as well.
+    """
+    n = len(words)
+    sizes = {1 << (max(1, int(m / 2)).bit_length() - 1) for m in (n, n / LONGER)}
+    parts = [(size, end) for size in sizes if LEAST_SEGMENT <= size for end in (words[:size], words[-size:])]
+    return [xxhash.xxh3_64_intdigest(b" ".join(end), seed=2 * size + (k % 2)) - (1 << 63) for k, (size, end) in enumerate(parts)]
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fps) of every row; equal word sequences have one node, a text without words has null `fps`."""
+    """(id, node, fps, hashes, ends) of every row; equal word sequences have one node, a text without words has null `fps`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints = [], []
+            nodes, prints, hashes, ends = [], [], [], []
             for t in batch.column(1).cast(pa.binary()):
-                words = (t.as_py() or b"").lower().split()
+                text = t.as_py() or b""
+                words = text.lower().split()
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
                 prints.append(sketch(words) if words else None)
-            arrays = [pa.array(nodes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "fps"])
+                hashes.append(least_hashes(shingle_set(text)) if words else None)
+                ends.append(segments(words))
+            arrays = [pa.array(nodes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (prints, hashes, ends))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "fps", "hashes", "ends"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(tidy(run), f"id {kind}, node bigint, fps array<bigint>")
+    return narrow.mapInArrow(tidy(run), f"id {kind}, node bigint, fps array<bigint>, hashes array<bigint>, ends array<bigint>")
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -127,8 +159,14 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
 
 
-def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, most: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs (a, b), a < b, of one bucket within `most` bits whose labels differ.
+def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarity of sets by their least hashes."""
+    either = (x != 0) | (y != 0)
+    return ((x == y) & either).sum(axis=-1) / np.maximum(either.sum(axis=-1), 1)
+
+
+def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float, forest: bool) -> list[tuple[int, int]]:
+    """Pairs (a, b), a < b, of one bucket within `most` bits and of an estimate of at least `least` whose labels differ.
 
     With `forest` a pair joins its labels for the rest of the bucket, so there are fewer
     pairs than labels; else all are given.
@@ -139,6 +177,7 @@ def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, most:
     for i in range(len(node) - 1):
         rest = slice(i + 1, None)
         at = np.flatnonzero((label[rest] != label[i]) & (_differ(prints[rest], prints[i]) <= most)) + i + 1
+        at = at[estimated(hashes[at], hashes[i]) >= least]
         if forest and len(at):
             labels, first = np.unique(label[at], return_index=True)
             at = at[first]
@@ -147,8 +186,8 @@ def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, most:
     return out
 
 
-def _pairs(buckets: DataFrame, most: int, forest: bool) -> DataFrame:
-    """`bucket_pairs` of every row's array of (node, label, fps), each pair once."""
+def _pairs(buckets: DataFrame, most: int, least: float, forest: bool) -> DataFrame:
+    """`bucket_pairs` of every row's array of (node, label, fps, hashes), each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +195,10 @@ def _pairs(buckets: DataFrame, most: int, forest: bool) -> DataFrame:
             rows, offsets = column.values, column.offsets.to_numpy()
             node, label = (rows.field(i).to_numpy() for i in range(2))
             prints = rows.field(2).flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
+            hashes = np.ascontiguousarray(rows.field(3).flatten().to_numpy()).view(np.uint8).reshape(-1, BINS)
             found: list[tuple[int, int]] = []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                found += bucket_pairs(node[lo:hi], label[lo:hi], prints[lo:hi], most, forest)
+                found += bucket_pairs(node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi], most, least, forest)
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
@@ -166,7 +206,7 @@ def _pairs(buckets: DataFrame, most: int, forest: bool) -> DataFrame:
 
 
 def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit: int) -> DataFrame | None:
-    """Arrays `rows` of (node, label, fps) that meet in a bucket still holding several of `groups`; null if none does."""
+    """Arrays `rows` of (node, label, fps, hashes) that meet in a bucket still holding several of `groups`; null if none does."""
     label = F.coalesce("component", "node").alias("label")
     labelled = materialize(
         shared.filter("n > 2").join(groups, "node", "left").select("key", "node", "n", label), "copies-labelled"
@@ -180,18 +220,20 @@ def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit:
     dealt = labelled.join(_handed(split), "key").select(
         "key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     )
-    rows = F.collect_list(F.struct("node", "label", "fps")).alias("rows")
-    return dealt.join(_handed(nodes.select("node", "fps")), "node").groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(rows)
+    rows = F.collect_list(F.struct("node", "label", "fps", "hashes")).alias("rows")
+    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(rows)
 
 
 def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
-    """(node, component) of the nodes of `nodes(node, least, fps)` that have a near copy; component is the least of its group."""
+    """(node, component) of the nodes of `nodes(node, least, fps, hashes, ends)` that have a near copy; component is the least of its group."""
     masks = covering_masks((1 << BITS) - 1, RADIUS)
     tables = F.explode(F.sequence(F.lit(0), F.lit(PRINTS * len(masks) - 1))).alias("table")
     spread = nodes.filter("fps IS NOT NULL").select("node", "fps", tables)
     masked = F.get("fps", F.expr(f"cast(table div {len(masks)} as int)")).bitwiseAND(F.get(_long_array(masks), F.col("table") % len(masks)))
     # One exchange serves the buckets' sizes and their rows; a hot group's rows are spread over all tables.
-    keyed = spread.select("node", F.xxhash64("table", masked).alias("key")).repartition("key")
+    met = spread.select("node", F.xxhash64("table", masked).alias("key"))
+    alike = nodes.filter("fps IS NOT NULL").select("node", F.explode("ends").alias("end")).select("node", F.xxhash64(F.lit(-1), "end").alias("key"))
+    keyed = met.unionByName(alike).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
     shared = materialize(keyed.join(sizes, "key"), "copies-shared")
     prints = _handed(nodes.select("node", "fps"))
@@ -208,7 +250,7 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
         blocks = _open_blocks(shared, nodes, joined, limit)
         if blocks is None:
             break
-        more = materialize(_pairs(blocks, most, forest).join(tested, ["a", "b"], "left_anti"), "copies-more")
+        more = materialize(_pairs(blocks, most, threshold - SLACK, forest).join(tested, ["a", "b"], "left_anti"), "copies-more")
         if not more.isEmpty():
             tested = tested.unionByName(more)
             # What is joined already goes on as one edge for each node, so new links meet finished stars.
@@ -218,9 +260,9 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
 
 
 def losers(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id) of the rows of `prints(id, node, fps)` that are not the least of their group."""
+    """(id) of the rows of `prints(id, node, fps, hashes, ends)` that are not the least of their group."""
     nodes = materialize(
-        prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"), F.count(F.lit(1)).alias("rows")), "copies-nodes"
+        prints.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("fps", "hashes", "ends")], F.count(F.lit(1)).alias("rows")), "copies-nodes"
     )
     linked = materialize(links(nodes, texts, threshold).join(nodes.select("node", "least"), "node"), "copies-linked")
     best = linked.groupBy("component").agg(F.min("least").alias("keep"))
