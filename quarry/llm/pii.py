@@ -11,6 +11,7 @@ permutations, so it comes from the session's settings and none is built in.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -278,9 +279,13 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonymise(text: Column, key: str) -> Column:
-    """A struct (text with pseudonyms, n values replaced) of a text column; null stays null with 0."""
+    """A struct (text with pseudonyms, n values replaced) of a text column; null stays null with 0.
+
+    The expressions hold a digest of the key, so plans and event logs do not tell the key.
+    """
     if not key:
         raise ValueError(f"personal data needs a key; set {KEY_SETTING}")
+    key = hashlib.sha256(f"{KEY_SETTING}|{key}".encode()).hexdigest()[:32]
     found = F.when(text.rlike(MAY), F.regexp_extract_all(text, F.lit(ANY), 0))
 
     def joined(values: Column) -> Column:

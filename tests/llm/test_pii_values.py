@@ -56,3 +56,11 @@ def test_no_key_no_run(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     with pytest.raises(ValueError, match="key"):
         pii.redact(frame, "")
+
+
+def test_plans_do_not_hold_the_key(spark):
+    frame = spark.createDataFrame([(1, "mail a.person@some.org, call +49 170 1234567")], "doc_id bigint, text string")
+    told = pii.redact(frame, "a-very-private-key")
+    assert "a-very-private-key" not in told._jdf.queryExecution().toString()
+    other = pii.redact(frame, "another-key")
+    assert told.first().text == pii.redact(frame, "a-very-private-key").first().text != other.first().text
