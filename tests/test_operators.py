@@ -1,6 +1,7 @@
 """Hand-worked rules and the SQL of every registered query on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def duck():
 
 def rows_of(df):
     df = df[sorted(df.columns)].astype(object)
-    cell = lambda v: "~" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    cell = lambda v: "~" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
 
