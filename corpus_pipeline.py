@@ -10,18 +10,32 @@ from quarry.llm.queries import TOKENIZER, pii_key
 from quarry.storage import materialize
 
 
+#: Texts that go to a Python worker at once, unless the session says; Spark's 10,000 are some 35 MB of texts, held several times over.
+ARROW_ROWS = 2000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small batches for the stages that work in Python; a session's own setting stays."""
+    if spark.conf.get(_ARROW_SETTING) == "10000":
+        spark.conf.set(_ARROW_SETTING, str(ARROW_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; the others go."""
+    bounded_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded_batches(spark)
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages, their length counted anew."""
+    bounded_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs, items).withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -37,6 +51,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' tokens as pieces of sequences of at most 2048."""
+    bounded_batches(spark)
     return packing.pack(docs, TOKENIZER)
 
 
