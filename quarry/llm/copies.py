@@ -52,6 +52,7 @@ BUCKET_ROWS = 2048
 #: Words or shingles worked on at once, so one endless text stays within bounded memory.
 CHUNK = 1 << 13
 
+_MASKS = np.array(covering_masks((1 << BITS) - 1, RADIUS), np.uint64)
 _MIX = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -165,11 +166,19 @@ def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y) & either).sum(axis=-1) / np.maximum(either.sum(axis=-1), 1)
 
 
-def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float, forest: bool) -> list[tuple[int, int]]:
+def met_before(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
+    """Whether fingerprints also meet in a table before this one; before the buckets of ends (table -1) stand all tables."""
+    meet = ((x ^ y)[..., None] & _MASKS == 0).reshape(len(x), PRINTS * len(_MASKS))
+    return (meet if table < 0 else meet[:, :table]).any(axis=1)
+
+
+def bucket_pairs(
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float, forest: bool, table: int = 0
+) -> list[tuple[int, int]]:
     """Pairs (a, b), a < b, of one bucket within `most` bits and of an estimate of at least `least` whose labels differ.
 
     With `forest` a pair joins its labels for the rest of the bucket, so there are fewer
-    pairs than labels; else all are given.
+    pairs than labels; else all are given that do not meet in a table before.
     """
     label, out = label.copy(), []
     if len(node) <= 128 and not (_differ(prints[:, None], prints[None]) <= most)[label[:, None] != label[None]].any():
@@ -178,6 +187,8 @@ def bucket_pairs(node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes
         rest = slice(i + 1, None)
         at = np.flatnonzero((label[rest] != label[i]) & (_differ(prints[rest], prints[i]) <= most)) + i + 1
         at = at[estimated(hashes[at], hashes[i]) >= least]
+        if not forest:
+            at = at[~met_before(prints[at], prints[i], table)]
         if forest and len(at):
             labels, first = np.unique(label[at], return_index=True)
             at = at[first]
@@ -191,25 +202,25 @@ def _pairs(buckets: DataFrame, most: int, least: float, forest: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
+            column, tables = batch.column(0), batch.column(1).to_pylist()
             rows, offsets = column.values, column.offsets.to_numpy()
             node, label = (rows.field(i).to_numpy() for i in range(2))
             prints = rows.field(2).flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
             hashes = np.ascontiguousarray(rows.field(3).flatten().to_numpy()).view(np.uint8).reshape(-1, BINS)
             found: list[tuple[int, int]] = []
-            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                found += bucket_pairs(node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi], most, least, forest)
+            for lo, hi, table in zip(offsets[:-1].tolist(), offsets[1:].tolist(), tables, strict=True):
+                found += bucket_pairs(node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi], most, least, forest, table)
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    return buckets.select("rows").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return buckets.select("rows", "table").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit: int) -> DataFrame | None:
     """Arrays `rows` of (node, label, fps, hashes) that meet in a bucket still holding several of `groups`; null if none does."""
     label = F.coalesce("component", "node").alias("label")
     labelled = materialize(
-        shared.filter("n > 2").join(groups, "node", "left").select("key", "node", "n", label), "copies-labelled"
+        shared.filter("n > 2").join(groups, "node", "left").select("key", "table", "node", "n", label), "copies-labelled"
     )
     split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     split = materialize(split, "copies-split")
@@ -218,10 +229,10 @@ def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit:
     blocks = F.ceil(F.col("n") * 2 / limit).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = labelled.join(_handed(split), "key").select(
-        "key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+        "key", "table", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     )
     rows = F.collect_list(F.struct("node", "label", "fps", "hashes")).alias("rows")
-    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", F.least("own", "other"), F.greatest("own", "other")).agg(rows)
+    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", "table", F.least("own", "other"), F.greatest("own", "other")).agg(rows)
 
 
 def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
@@ -231,8 +242,8 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
     spread = nodes.filter("fps IS NOT NULL").select("node", "fps", tables)
     masked = F.get("fps", F.expr(f"cast(table div {len(masks)} as int)")).bitwiseAND(F.get(_long_array(masks), F.col("table") % len(masks)))
     # One exchange serves the buckets' sizes and their rows; a hot group's rows are spread over all tables.
-    met = spread.select("node", F.xxhash64("table", masked).alias("key"))
-    alike = nodes.filter("fps IS NOT NULL").select("node", F.explode("ends").alias("end")).select("node", F.xxhash64(F.lit(-1), "end").alias("key"))
+    met = spread.select("node", "table", F.xxhash64("table", masked).alias("key"))
+    alike = nodes.filter("fps IS NOT NULL").select("node", F.explode("ends").alias("end")).select("node", F.lit(-1).alias("table"), F.xxhash64(F.lit(-1), "end").alias("key"))
     keyed = met.unionByName(alike).repartition("key")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
     shared = materialize(keyed.join(sizes, "key"), "copies-shared")
