@@ -356,7 +356,9 @@ def text_checks(spark: SparkSession, d: str) -> DataFrame:
     body = F.col("text")
     lines = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
     key = F.col("doc_id")
-    evidence = F.when(key % 10 == 3, F.concat(F.lit("Access DENIED. "), body)).when(key % 10 == 4, F.concat(body, F.lit(" captcha"))).otherwise(body)
+    # The mark behind a text ends ten characters after it, so one of over 390 characters moves it out of the window.
+    denied = F.concat(F.lit("Access DENIED. "), F.coalesce(body, F.lit("")))
+    evidence = F.when(key % 10 == 3, denied).when(key % 10 == 4, F.concat(body, F.lit(" - captcha"))).otherwise(body)
     title = F.when(key % 5 == 0, _string("https://x.org/", key)).when(key % 5 == 1, _string("paper_", key, ".pdf")).when(key % 5 == 2, F.substring(body, 1, 30)).when(key % 5 == 3, "Microsoft Word - draft").otherwise("A title, untitled")
     return table(spark, d, "documents").select(
         "doc_id",
