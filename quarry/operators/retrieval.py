@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import cosine_distance
-from quarry.operators.assigning import SEED_BYTES
+from quarry.operators.assigning import SEED_BYTES, _matrix
+
+#: Vectors that meet all centroids of their group at once.
+BLOCK = 256
+#: How far a product in single precision may lie from the exact one; at length 1 it is off by 1e-6.
+SLACK = 1e-4
 
 
 def papers(passages: DataFrame, metadata: DataFrame, key: str, meta_key: str, score: str, order: str, n: int) -> DataFrame:
@@ -39,37 +49,87 @@ def nearest_seed(vectors: DataFrame, seeds: DataFrame, vec_id: str, embedding: s
     return best.filter("s IS NOT NULL").select(vec_id, F.col("s.seed").alias("seed"), F.col("s.distance").alias("distance"))
 
 
+class Centres:
+    """The centroids of one group, met by its vectors in order.
+
+    A block of vectors is multiplied with all centroids at once, in single precision; a
+    centroid that is moved or founded within the block is multiplied with the block's other
+    vectors again.  These products only propose: what lies within SLACK of the nearest, or of
+    the threshold, is decided by distances in double precision.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.n = threshold, 0
+        self.sums, self.units = np.empty((0, 0)), np.empty((0, 0), np.float32)
+
+    def _room(self, more: int, width: int) -> None:
+        if self.n + more > len(self.sums):
+            size = max(2 * len(self.sums), self.n + more)
+            for name in ("sums", "units"):
+                old = getattr(self, name)
+                held = np.empty((size, width), old.dtype)
+                held[: len(old)] = old.reshape(-1, width)
+                setattr(self, name, held)
+
+    def assign(self, rows: np.ndarray) -> np.ndarray:
+        """The cluster of each of the `rows`, vectors of length 1."""
+        out = np.empty(len(rows), np.int64)
+        for at in range(0, len(rows), BLOCK):
+            block = rows[at : at + BLOCK]
+            self._room(len(block), block.shape[1])
+            light, known = block.astype(np.float32), self.n
+            near = np.empty((len(block), known + len(block)), np.float32)
+            near[:, :known] = light @ self.units[:known].T
+            for i, x in enumerate(block):
+                out[at + i] = j = self._place(x, near[i, : self.n])
+                near[i + 1 :, j] = light[i + 1 :] @ self.units[j]
+        return out
+
+    def _place(self, x: np.ndarray, near: np.ndarray) -> int:
+        best = near.max(initial=-np.inf)
+        if 1 - best <= self.threshold + SLACK:
+            close = np.flatnonzero(near >= best - SLACK)
+            sums = self.sums[close]
+            distance = 1 - (sums * x).sum(axis=1) / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-12)
+            k = int(distance.argmin())
+            if distance[k] <= self.threshold:
+                j = int(close[k])
+                self.sums[j] += x
+                self.units[j] = self.sums[j] / max(np.linalg.norm(self.sums[j]), 1e-12)
+                return j
+        self.sums[self.n] = self.units[self.n] = x
+        self.n += 1
+        return self.n - 1
+
+
 def online_clusters(vectors: DataFrame, group: str, order: str, embedding: str, threshold: float) -> DataFrame:
     """Sequential nearest-centroid assignment within each group: (group, order, cluster).
 
     A vector joins the nearest centroid within `threshold` (the first of equals), whose mean
     it moves, or else opens a cluster.  The rule depends on the order of all earlier vectors
-    of the group, so a group is one task's work by definition: choose groups accordingly.
+    of the group, so a group is one task's work by definition: choose groups accordingly.  The
+    task reads its group as a stream and holds the centroids alone.
     """
-    import numpy as np
-    import pandas as pd
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        sums, out = [], []
-        for v in pdf[embedding]:
-            x = np.asarray(v, float)
-            x = x / max(np.linalg.norm(x), 1e-12)
-            if sums:
-                c = np.stack(sums)
-                d = 1 - c @ x / np.maximum(np.linalg.norm(c, axis=1), 1e-12)
-                best = int(d.argmin())
-                if d[best] <= threshold:
-                    sums[best] = sums[best] + x
-                    out.append(best)
-                    continue
-            sums.append(x)
-            out.append(len(sums) - 1)
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "cluster": out})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centres = None, Centres(threshold)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, rows = pc.run_end_encode(batch.column(0)), _matrix(batch.column(2))
+            found, start = [], 0
+            for name, end in zip(runs.values, runs.run_ends.to_pylist(), strict=True):
+                if last is None or not name.equals(last):
+                    last, centres = name, Centres(threshold)
+                found.append(centres.assign(rows[start:end]))
+                start = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found))], [group, order, "cluster"])
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    schema = f"{group} {kinds[group]}, {order} {kinds[order]}, cluster bigint"
-    return vectors.select(group, order, embedding).groupBy(group).applyInPandas(assign, schema)
+    # With a number of its own the exchange is not coalesced, which would put small groups into one task.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = vectors.select(group, order, embedding).repartition(tasks, group).sortWithinPartitions(group, order)
+    return stream.mapInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, cluster bigint")
 
 
 def group_normalised(rows: DataFrame, group: str, reward: str) -> DataFrame:
