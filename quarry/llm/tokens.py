@@ -13,13 +13,11 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,29 +34,29 @@ END_ID = 1
 BLOCK_IDS = 1 << 16
 #: Bytes of text that one file holds, about.
 FILE_BYTES = 32 << 20
-#: Pieces whose ids a worker remembers, about 250 bytes each; the memory is emptied when full.
-CACHE_PIECES = 400_000
+#: Pieces whose ids a worker remembers, some 40 bytes each; the memory is emptied when full.
+CACHE_PIECES = 1_000_000
 MAGIC = b"QTOK1"
 
 #: A fixed value: the split pattern of tokenizers that drop white space, so that pieces can be encoded alone.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 _WORD_END = "</w>"
-#: Words whose ids are gathered at once.
-_GATHER = 1 << 17
-#: Characters whose lower case and composed form Python and the tokenizer agree on: up to U+017F without white space.
-_PLAIN_WORD = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+_SPACE = r" \t\n\v\f\r"
+#: A character on whose lower case and composed form Arrow and the tokenizer may differ: all but white space and those up to U+017F.
+_ODD = f"[^{_SPACE}\x21-\x7e\xa1-\u012f\u0131-\u017f]"
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: `_WORD_PATTERN` on lower-cased words of these characters.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: What `_WORD_PATTERN` splits from the letters around it, in lower-cased text without odd characters.
+_APART = f"'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+"
+_PIECE = f"^(?:[{_LETTERS}]+|{_APART})$"
 
 
 class Encoder:
     """Ids of texts.
 
     Where the tokenizer splits at white space and drops it, a piece's ids do not depend on
-    its neighbours: a batch's different words are split once, and each worker encodes a piece
-    once.  Words with other than plain characters are encoded whole, and so are the texts of
+    its neighbours: a batch's texts are split into pieces in Arrow, and each worker encodes a
+    piece once.  Words with odd characters are encoded whole, and so are the texts of
     other tokenizers and batches with an added token.
     """
 
@@ -74,7 +72,7 @@ class Encoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -99,57 +97,74 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Encode pieces that are one token run each, many in a call, told apart by their ends."""
-        for at in range(0, len(missing), 1000):
-            part = missing[at : at + 1000]
+    def _forget(self) -> None:
+        self.pieces, self.ids, self.lengths = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+
+    def _joined(self, pieces: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Ids and their numbers of pieces that are one token run each, many in a call, told apart by their ends."""
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                data = ids.tobytes()
-                stops = (4 * ends).tolist()
-                self.pieces.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+                yield ids.tobytes(), np.diff(ends, prepend=0)
             else:
-                self.pieces.update(zip(part, self._whole(part), strict=True))
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        plain, split = _PLAIN_WORD.fullmatch, _PIECES.findall
-        parted = [split(w.lower()) if plain(w) else [w] for w in words]
-        piece = self.pieces.__getitem__
-        try:
-            return [piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parted]
-        except KeyError:  # not all are known yet
-            pass
-        missing = set(chain.from_iterable(parted)).difference(self.pieces)
-        if len(self.pieces) + len(missing) > CACHE_PIECES:
-            self.pieces.clear()
-            missing = set(chain.from_iterable(parted))
-        odd = [w for w in missing if not plain(w)]
-        self.pieces.update(zip(odd, self._whole(odd), strict=True))
-        self._learn(list(missing.difference(odd)))
-        return [piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in parted]
+                yield self._separate(part)
+
+    def _separate(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        found = self._whole(words)
+        return b"".join(found), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _learn(self, missing: pa.Array) -> None:
+        single = pc.match_substring_regex(missing, _PIECE)
+        rest = missing.filter(pc.invert(single))
+        missing = missing.filter(single)
+        found = [*self._joined(missing.to_pylist()), self._separate(rest.to_pylist())]
+        self.pieces = pa.concat_arrays([self.pieces, missing, rest])
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(x for x, _ in found), "<u4")))
+        self.lengths = np.concatenate((self.lengths, *(x for _, x in found)), dtype=np.int32)
+
+    def _places(self, wanted: pa.Array) -> np.ndarray:
+        """Where each of the different `wanted` pieces stands among those known; the missing ones are learnt."""
+        places = pc.index_in(wanted, value_set=self.pieces)
+        if places.null_count:
+            missing = wanted.filter(pc.is_null(places))
+            if len(self.pieces) + len(missing) > CACHE_PIECES:
+                self._forget()
+                missing = wanted
+            self._learn(missing)
+            places = pc.index_in(wanted, value_set=self.pieces)
+        return places.to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in a row, and the position at which each text's pieces end."""
+
+        def apart(part: pa.Array) -> pa.Array:
+            return pc.replace_substring_regex(pc.utf8_lower(part), f"({_APART})", r" \1 ")
+
+        def stops(lists: pa.Array) -> np.ndarray:
+            return lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+
+        if not pc.any(pc.match_substring_regex(texts, _ODD)).as_py():
+            lists = pc.ascii_split_whitespace(apart(texts))
+            return lists.flatten(), stops(lists)
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten()
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(each, _ODD), each, apart(each)))
+        return lists.flatten(), np.concatenate(([0], stops(lists)))[stops(words)]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the position at which each text's ids end."""
         if not self.by_word or any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
             found = [np.frombuffer(x, "<u4") for x in self._whole(texts.to_pylist())]
             return np.concatenate(found or [np.zeros(0, "<u4")]), np.cumsum([len(x) for x in found], dtype=np.int64)
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        known = self._encode_words(coded.dictionary.to_pylist())
-        table = np.frombuffer(b"".join(known), "<u4")
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        after = np.concatenate(([0], np.cumsum(each)))
-        ids = np.empty(after[-1], "<u4")
-        for a in range(0, len(codes), _GATHER):
-            some, end = each[a : a + _GATHER], min(a + _GATHER, len(codes))
-            shift = np.repeat(starts[codes[a:end]] - after[a:end], some)
-            ids[after[a] : after[end]] = table[shift + np.arange(after[a], after[end])]
-        stops = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
-        return ids, after[stops]
+        pieces, stops = self._split(texts)
+        coded = pieces.dictionary_encode()
+        places = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        after = np.concatenate(([0], np.cumsum(self.lengths[places], dtype=np.int64)))
+        known = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(self.lengths)), dtype=np.int32), self.ids)
+        return known.take(pa.array(places)).flatten().to_numpy(), after[stops]
 
 
 @lru_cache(maxsize=1)
@@ -180,6 +195,8 @@ def encoded(column: pa.Array, encoder: Encoder, end_id: int) -> Iterator[np.ndar
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """Ids in `width` bits each, least significant bit first, padded to a whole byte."""
+    if width == 16:
+        return ids.astype("<u2").tobytes()
     if width % 8 == 0:
         return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : width // 8].tobytes()
     bits = (ids.astype(np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & 1
@@ -188,6 +205,8 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
 
 def unpack_bits(data: bytes, width: int, n: int) -> np.ndarray:
     """The first `n` ids of `pack_bits` output."""
+    if width == 16:
+        return np.frombuffer(data, "<u2", n).astype("<u4")
     raw = np.frombuffer(data, np.uint8)
     if width % 8 == 0:
         wide = np.zeros((n, 4), np.uint8)
