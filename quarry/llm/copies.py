@@ -13,8 +13,9 @@ Each text is first checked against its
 bucket's pivot; in buckets that then still hold several components a forest of the closest
 texts is checked, and after that what pairs are left between different components.  Both
 leave out pairs whose similarity, estimated from the least shingle hashes of 256 ranges, is
-far under the threshold.  That last round still grows with the square of a group of texts
-that are all alike just under the threshold.
+far under the threshold.  The pairs of the last round, whose number grows with the square of
+a group of texts that are all alike just under the threshold, are never rows: texts with such
+a pair meet with their sets in blocks of a bucket, where only links are given.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ LEAST_SEGMENT, LONGER = 8, 1.25
 CLOSE_BITS = 45
 #: Rows of a bucket compared in one task; of larger ones every two blocks meet.
 BUCKET_ROWS = 2048
+#: Rows of a bucket whose sets of shingles meet in one task.
+SET_ROWS = 512
 #: Words or shingles worked on at once, so one endless text stays within bounded memory.
 CHUNK = 1 << 13
 
@@ -135,22 +138,29 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(tidy(run), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
 
+def alike(x: bytes, y: bytes, threshold: float) -> bool:
+    """Whether two sets of shingle hashes have at least this exact Jaccard similarity."""
+    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
+def _sets_of(ends: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, members) of the nodes of `ends(node)`; only their texts are hashed."""
+    wanted = materialize(nodes.join(_handed(materialize(ends.distinct(), "copies-ends")), "node", "left_semi").select("node", F.col("least").alias("id")), "copies-wanted")
+    return _sets(texts.join(_handed(wanted), "id"))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least this exact Jaccard similarity; only their texts are hashed."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.join(_handed(materialize(ends, "copies-ends")), "node", "left_semi").select("node", F.col("least").alias("id")), "copies-wanted")
-    sets = _sets(texts.join(_handed(wanted), "id"))
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, texts)
     joined = _handed(pairs).join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            keep = [alike(x.as_py(), y.as_py(), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "copies-links")
@@ -172,48 +182,119 @@ def met_before(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
     return (meet if table < 0 else meet[:, :table]).any(axis=1)
 
 
-def bucket_pairs(
-    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float, forest: bool, table: int = 0
-) -> list[tuple[int, int]]:
-    """Pairs (a, b), a < b, of one bucket within `most` bits and of an estimate of at least `least` whose labels differ.
-
-    With `forest` a pair joins its labels for the rest of the bucket, so there are fewer
-    pairs than labels; else all are given that do not meet in a table before.
-    """
-    label, out = label.copy(), []
-    if len(node) <= 128 and not (_differ(prints[:, None], prints[None]) <= most)[label[:, None] != label[None]].any():
-        return out
-    for i in range(len(node) - 1):
+def candidates(label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows behind i) of one bucket within `most` bits and of an estimate of at least `least` whose labels differ; labels may change meanwhile."""
+    if len(label) <= 128 and not (_differ(prints[:, None], prints[None]) <= most)[label[:, None] != label[None]].any():
+        return
+    for i in range(len(label) - 1):
         rest = slice(i + 1, None)
         at = np.flatnonzero((label[rest] != label[i]) & (_differ(prints[rest], prints[i]) <= most)) + i + 1
-        at = at[estimated(hashes[at], hashes[i]) >= least]
-        if not forest:
-            at = at[~met_before(prints[at], prints[i], table)]
-        if forest and len(at):
+        yield i, at[estimated(hashes[at], hashes[i]) >= least]
+
+
+def bucket_forest(node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float) -> list[tuple[int, int]]:
+    """Pairs (a, b), a < b, of the candidates of one bucket; a pair joins its labels for the rest of it, so there are fewer pairs than labels."""
+    label, out = label.copy(), []
+    for i, at in candidates(label, prints, hashes, most, least):
+        if len(at):
             labels, first = np.unique(label[at], return_index=True)
-            at = at[first]
             label[np.isin(label, labels)] = label[i]
-        out += [(min(node[i], node[j]), max(node[i], node[j])) for j in at]
+            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in at[first]]
+    return out
+
+
+def bucket_links(
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, members: list[bytes], most: int, least: float, table: int, threshold: float
+) -> list[tuple[int, int]]:
+    """Links (a, b) of one bucket: candidates that do not meet in a table before and whose sets are alike; a link joins its labels."""
+    label, out = label.copy(), []
+    for i, at in candidates(label, prints, hashes, most, least):
+        for j in at[~met_before(prints[at], prints[i], table)]:
+            if label[j] != label[i] and alike(members[i], members[j], threshold):
+                label[label == label[j]] = label[i]
+                out.append((node[i], node[j]))
     return out
 
 
-def _pairs(buckets: DataFrame, most: int, least: float, forest: bool) -> DataFrame:
-    """`bucket_pairs` of every row's array of (node, label, fps, hashes), each pair once."""
+def _arrays(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and bytes of least hashes, a row each, of a struct's or batch's last two columns."""
+    prints, hashes = (x.flatten().to_numpy(zero_copy_only=False) for x in rows)
+    return prints.view(np.uint64).reshape(-1, PRINTS), np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, BINS)
+
+
+def _per_bucket(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(row, node, label, prints, hashes) of every bucket of a batch whose first column holds arrays of (node, label, fps, hashes)."""
+    rows, offsets = batch.column(0).values, batch.column(0).offsets.to_numpy()
+    node, label = (rows.field(i).to_numpy() for i in range(2))
+    prints, hashes = _arrays([rows.field(2), rows.field(3)])
+    for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        yield k, node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi]
+
+
+def _forest(buckets: DataFrame, most: int, least: float) -> DataFrame:
+    """`bucket_forest` of every bucket, each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, tables = batch.column(0), batch.column(1).to_pylist()
-            rows, offsets = column.values, column.offsets.to_numpy()
-            node, label = (rows.field(i).to_numpy() for i in range(2))
-            prints = rows.field(2).flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
-            hashes = np.ascontiguousarray(rows.field(3).flatten().to_numpy()).view(np.uint8).reshape(-1, BINS)
-            found: list[tuple[int, int]] = []
-            for lo, hi, table in zip(offsets[:-1].tolist(), offsets[1:].tolist(), tables, strict=True):
-                found += bucket_pairs(node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi], most, least, forest, table)
+            found = [pair for _, *bucket in _per_bucket(batch) for pair in bucket_forest(*bucket, most, least)]
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    return buckets.select("rows", "table").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return buckets.select("rows").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+
+
+_MET = "key bigint, lo int, hi int, table int, node bigint, label bigint"
+
+
+def _met(buckets: DataFrame, most: int, least: float) -> DataFrame:
+    """The rows of buckets that have a candidate there which does not meet them in a table before: no more than the buckets' rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, held = batch.select(["key", "lo", "hi", "table"]), []
+            for k, node, label, prints, hashes in _per_bucket(batch):
+                table, mark = names.column(3)[k].as_py(), np.zeros(len(node), bool)
+                for i, at in candidates(label, prints, hashes, most, least):
+                    at = at[~met_before(prints[at], prints[i], table)]
+                    mark[at] = True
+                    mark[i] |= len(at) > 0
+                held.append((np.full(mark.sum(), k), node[mark], label[mark]))
+            if held:
+                k, node, label = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield pa.RecordBatch.from_arrays([*names.take(pa.array(k)).columns, pa.array(node), pa.array(label)], [*names.schema.names, "node", "label"])
+
+    return buckets.select("rows", "key", "lo", "hi", "table").mapInArrow(tidy(run), _MET)
+
+
+def _linked(met: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, least: float, threshold: float) -> DataFrame:
+    """`bucket_links` of the rows `met` of every block, whose sets are read as a stream of blocks."""
+    sets = _sets_of(met.select("node"), nodes, texts)
+    rows = met.join(nodes.select("node", "fps", "hashes").join(sets, "node"), "node").select("key", "lo", "hi", "table", "node", "label", "fps", "hashes", "members")
+    dealt = rows.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+    def of(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
+        node, label = (whole.column(c).to_numpy() for c in ("node", "label"))
+        prints, hashes = _arrays([whole.column("fps"), whole.column("hashes")])
+        found = bucket_links(node, label, prints, hashes, whole.column("members").to_pylist(), most, least, whole.column("table")[0].as_py(), threshold)
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last = [], None
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], axis=1)
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()] if batch.num_rows else []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                name = tuple(names[lo])
+                if block and name != last:
+                    yield of(block)
+                    block = []
+                block, last = [*block, batch.slice(lo, hi - lo)], name
+        if block:
+            yield of(block)
+
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit: int) -> DataFrame | None:
@@ -232,7 +313,8 @@ def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit:
         "key", "table", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     )
     rows = F.collect_list(F.struct("node", "label", "fps", "hashes")).alias("rows")
-    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", "table", F.least("own", "other"), F.greatest("own", "other")).agg(rows)
+    places = (F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", "table", *places).agg(rows)
 
 
 def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
@@ -257,16 +339,24 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
     )
     tested = materialize(pairs, "copies-tested")
     joined = connected_components(_confirmed(tested, nodes, texts, threshold), "a", "b")
-    for most, forest in ((CLOSE_BITS, True), (MOST_BITS, False)):
-        blocks = _open_blocks(shared, nodes, joined, limit)
-        if blocks is None:
-            break
-        more = materialize(_pairs(blocks, most, threshold - SLACK, forest).join(tested, ["a", "b"], "left_anti"), "copies-more")
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            # What is joined already goes on as one edge for each node, so new links meet finished stars.
-            stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            joined = connected_components(stars.unionByName(_confirmed(more, nodes, texts, threshold)), "a", "b")
+
+    def more(found: DataFrame) -> DataFrame:
+        # What is joined already goes on as one edge for each node, so new links meet finished stars.
+        stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return connected_components(stars.unionByName(found), "a", "b")
+
+    blocks = _open_blocks(shared, nodes, joined, limit)
+    if blocks is None:
+        return joined
+    close = materialize(_forest(blocks, CLOSE_BITS, threshold - SLACK).join(tested, ["a", "b"], "left_anti"), "copies-close")
+    if not close.isEmpty():
+        joined = more(_confirmed(close, nodes, texts, threshold))
+    blocks = _open_blocks(shared, nodes, joined, min(limit, SET_ROWS))
+    if blocks is None:
+        return joined
+    met = materialize(_met(blocks, MOST_BITS, threshold - SLACK), "copies-met")
+    if not met.isEmpty():
+        joined = more(materialize(_linked(met, nodes, texts, MOST_BITS, threshold - SLACK, threshold), "copies-links"))
     return joined
 
 
