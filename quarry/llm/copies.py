@@ -10,18 +10,21 @@ over a quarter to a half of their length meet as well.  The fingerprints only pr
 link is confirmed by the exact similarity of the two sets of shingle hashes.
 
 Each text is first checked against its
-bucket's pivot; in buckets that then still hold several components a forest of the closest
-texts is checked, and after that what pairs are left between different components.  Both
+bucket's pivot.  Buckets that then still hold several components are searched once, for a
+forest of the closest texts, which is checked, and for the rows that have any other pair to
+check; in what buckets are open after the forest these rows meet with their sets.  Both
 leave out pairs whose similarity, estimated from the least shingle hashes of 256 ranges, is
-far under the threshold.  The pairs of the last round, whose number grows with the square of
-a group of texts that are all alike just under the threshold, are never rows: texts with such
-a pair meet with their sets in blocks of a bucket, where only links are given.
+far under the threshold.  Pairs, whose number grows with the square of a group of texts that
+are all alike just under the threshold, are never rows: texts meet in tiles of a bucket, where
+only links are given.  A bucket is one tile while it is small; a larger one is dealt out in a
+bounded number of blocks, every two of which are a tile, so a row is copied a bounded number
+of times.  The comparisons in the tiles still grow with the square of such a group.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,11 @@ CLOSE_BITS = 45
 BUCKET_ROWS = 2048
 #: Rows of a bucket whose sets of shingles meet in one task.
 SET_ROWS = 512
+#: Blocks of a bucket, and so copies of a row, unless two of them would hold more than TILE_BYTES.
+MOST_BLOCKS = 16
+TILE_BYTES = 64 << 20
+#: Bytes of a text's fingerprints and least hashes.
+PRINT_BYTES = PRINTS * BITS // 8 + BINS
 #: Words or shingles worked on at once, so one endless text stays within bounded memory.
 CHUNK = 1 << 13
 
@@ -182,33 +190,48 @@ def met_before(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
     return (meet if table < 0 else meet[:, :table]).any(axis=1)
 
 
-def candidates(label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, rows behind i) of one bucket within `most` bits and of an estimate of at least `least` whose labels differ; labels may change meanwhile."""
-    if len(label) <= 128 and not (_differ(prints[:, None], prints[None]) <= most)[label[:, None] != label[None]].any():
+def candidates(label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows behind i) of one tile within MOST_BITS and of an estimate of at least `least` whose labels differ; labels may change meanwhile.
+
+    Of a tile of two blocks, the first of `half` rows, only pairs of both are told.
+    """
+    if len(label) <= 128 and not (_differ(prints[:, None], prints[None]) <= MOST_BITS)[label[:, None] != label[None]].any():
         return
-    for i in range(len(label) - 1):
-        rest = slice(i + 1, None)
-        at = np.flatnonzero((label[rest] != label[i]) & (_differ(prints[rest], prints[i]) <= most)) + i + 1
+    for i in range(len(label) - 1 if half is None else half):
+        rest = max(i + 1, half or 0)
+        at = np.flatnonzero((label[rest:] != label[i]) & (_differ(prints[rest:], prints[i]) <= MOST_BITS)) + rest
         yield i, at[estimated(hashes[at], hashes[i]) >= least]
 
 
-def bucket_forest(node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, most: int, least: float) -> list[tuple[int, int]]:
-    """Pairs (a, b), a < b, of the candidates of one bucket; a pair joins its labels for the rest of it, so there are fewer pairs than labels."""
-    label, out = label.copy(), []
-    for i, at in candidates(label, prints, hashes, most, least):
-        if len(at):
-            labels, first = np.unique(label[at], return_index=True)
-            label[np.isin(label, labels)] = label[i]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in at[first]]
-    return out
-
+def tile_search(
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, table: int, least: float
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest (a, b), a < b, of the candidates of one tile within CLOSE_BITS, and the rows with a candidate that does not meet them in a table before.
 
-def bucket_links(
-    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, members: list[bytes], most: int, least: float, table: int, threshold: float
+    A pair joins its labels in the forest, so there are fewer pairs than labels.
+    """
+    joined, mark, out = label.copy(), np.zeros(len(label), bool), []
+    for i, at in candidates(label, prints, hashes, half, least):
+        close = at[joined[at] != joined[i]]
+        close = close[_differ(prints[close], prints[i]) <= CLOSE_BITS]
+        if len(close):
+            labels, first = np.unique(joined[close], return_index=True)
+            joined[np.isin(joined, labels)] = joined[i]
+            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in close[first]]
+        if mark[i]:
+            at = at[~mark[at]]
+        at = at[~met_before(prints[at], prints[i], table)]
+        mark[at] = True
+        mark[i] |= len(at) > 0
+    return out, mark
+
+
+def tile_links(
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, table: int, members: list[bytes], least: float, threshold: float
 ) -> list[tuple[int, int]]:
-    """Links (a, b) of one bucket: candidates that do not meet in a table before and whose sets are alike; a link joins its labels."""
+    """Links (a, b) of one tile: candidates that do not meet in a table before and whose sets are alike; a link joins its labels."""
     label, out = label.copy(), []
-    for i, at in candidates(label, prints, hashes, most, least):
+    for i, at in candidates(label, prints, hashes, half, least):
         for j in at[~met_before(prints[at], prints[i], table)]:
             if label[j] != label[i] and alike(members[i], members[j], threshold):
                 label[label == label[j]] = label[i]
@@ -216,105 +239,89 @@ def bucket_links(
     return out
 
 
-def _arrays(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and bytes of least hashes, a row each, of a struct's or batch's last two columns."""
-    prints, hashes = (x.flatten().to_numpy(zero_copy_only=False) for x in rows)
-    return prints.view(np.uint64).reshape(-1, PRINTS), np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, BINS)
-
-
-def _per_bucket(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(row, node, label, prints, hashes) of every bucket of a batch whose first column holds arrays of (node, label, fps, hashes)."""
-    rows, offsets = batch.column(0).values, batch.column(0).offsets.to_numpy()
-    node, label = (rows.field(i).to_numpy() for i in range(2))
-    prints, hashes = _arrays([rows.field(2), rows.field(3)])
-    for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        yield k, node[lo:hi], label[lo:hi], prints[lo:hi], hashes[lo:hi]
-
-
-def _forest(buckets: DataFrame, most: int, least: float) -> DataFrame:
-    """`bucket_forest` of every bucket, each pair once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pair for _, *bucket in _per_bucket(batch) for pair in bucket_forest(*bucket, most, least)]
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    return buckets.select("rows").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
-
-
-_MET = "key bigint, lo int, hi int, table int, node bigint, label bigint"
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """(key, table, node, label, n) of the buckets of `rows(key, table, node)` whose n rows are of several of `groups`; null if none is."""
+    label = F.coalesce("component", "node").alias("label")
+    labelled = materialize(rows.join(groups, "node", "left").select("key", "table", "node", label), "copies-labelled")
+    split = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    split = materialize(split.select("key", "n"), "copies-split")
+    return None if split.isEmpty() else labelled.join(_handed(split), "key")
 
 
-def _met(buckets: DataFrame, most: int, least: float) -> DataFrame:
-    """The rows of buckets that have a candidate there which does not meet them in a table before: no more than the buckets' rows."""
+def tiles(rows: DataFrame, limit: int) -> DataFrame:
+    """`rows(key, node, n, bytes, ...)` dealt to the tiles (key, lo, hi) of their bucket, which has n rows of so many bytes; `own` is a row's block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, held = batch.select(["key", "lo", "hi", "table"]), []
-            for k, node, label, prints, hashes in _per_bucket(batch):
-                table, mark = names.column(3)[k].as_py(), np.zeros(len(node), bool)
-                for i, at in candidates(label, prints, hashes, most, least):
-                    at = at[~met_before(prints[at], prints[i], table)]
-                    mark[at] = True
-                    mark[i] |= len(at) > 0
-                held.append((np.full(mark.sum(), k), node[mark], label[mark]))
-            if held:
-                k, node, label = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield pa.RecordBatch.from_arrays([*names.take(pa.array(k)).columns, pa.array(node), pa.array(label)], [*names.schema.names, "node", "label"])
-
-    return buckets.select("rows", "key", "lo", "hi", "table").mapInArrow(tidy(run), _MET)
-
-
-def _linked(met: DataFrame, nodes: DataFrame, texts: DataFrame, most: int, least: float, threshold: float) -> DataFrame:
-    """`bucket_links` of the rows `met` of every block, whose sets are read as a stream of blocks."""
-    sets = _sets_of(met.select("node"), nodes, texts)
-    rows = met.join(nodes.select("node", "fps", "hashes").join(sets, "node"), "node").select("key", "lo", "hi", "table", "node", "label", "fps", "hashes", "members")
-    dealt = rows.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-
-    def of(block: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
-        node, label = (whole.column(c).to_numpy() for c in ("node", "label"))
-        prints, hashes = _arrays([whole.column("fps"), whole.column("hashes")])
-        found = bucket_links(node, label, prints, hashes, whole.column("members").to_pylist(), most, least, whole.column("table")[0].as_py(), threshold)
-        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+    Every two rows of a bucket meet in a tile: one of both blocks, or of the block that both are in.
+    """
+    blocks = F.greatest(F.least(F.ceil(F.col("n") * 2 / limit), F.lit(MOST_BLOCKS)), F.ceil(F.col("bytes") * 2 / TILE_BYTES)).cast("int")
+    small, none = (F.col("n") <= limit) & (F.col("bytes") <= TILE_BYTES), F.lit(0)
+    whole = rows.filter(small).withColumns({"own": none, "lo": none, "hi": none})
+    cut = rows.filter(~small).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(none, blocks - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    return whole.unionByName(cut.drop("other")).drop("n", "bytes")
+
+
+def _by_tile(rows: DataFrame, work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """`work` on every tile of `rows`, which are read as a stream of tiles; it gets the tile as a table, (node, label, prints, hashes) and where its second block begins."""
+    spark = rows.sparkSession
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
+
+    def of(tile: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(tile).combine_chunks().to_batches()[0]
+        node, label, own = (whole.column(c).to_numpy() for c in ("node", "label", "own"))
+        prints, hashes = (whole.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("fps", "hashes"))
+        lo, hi = (whole.column(c)[0].as_py() for c in ("lo", "hi"))
+        arrays = (node, label, prints.view(np.uint64).reshape(-1, PRINTS), np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, BINS))
+        return work(whole, *arrays, None if lo == hi else int((own == lo).sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, last = [], None
+        tile, last = [], None
         for batch in batches:
             names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], axis=1)
             starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()] if batch.num_rows else []
             for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
                 name = tuple(names[lo])
-                if block and name != last:
-                    yield of(block)
-                    block = []
-                block, last = [*block, batch.slice(lo, hi - lo)], name
-        if block:
-            yield of(block)
-
-    return dealt.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+                if tile and name != last:
+                    yield of(tile)
+                    tile = []
+                tile, last = [*tile, batch.slice(lo, hi - lo)], name
+        if tile:
+            yield of(tile)
+
+    return dealt.mapInArrow(tidy(run), schema)
+
+
+def _searched(rows: DataFrame, nodes: DataFrame, limit: int, least: float) -> DataFrame:
+    """`tile_search` of the open `rows`: (a, b) with a null key for the forest, (key, table, a) with a null b for the rows with other candidates."""
+
+    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None) -> pa.RecordBatch:
+        key, table = (tile.column(c)[0].as_py() for c in ("key", "table"))
+        forest, mark = tile_search(node, label, prints, hashes, half, table, least)
+        pairs, found = np.array(forest, np.int64).reshape(-1, 2), node[mark]
+        left = [pa.nulls(len(pairs)), pa.nulls(len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+        right = [pa.array([key] * len(found)), pa.array([table] * len(found)), pa.array(found), pa.nulls(len(found))]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        columns = [pa.concat_arrays([x.cast(kind), y.cast(kind)]) for x, y, kind in zip(left, right, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "table", "a", "b"])
+
+    dealt = tiles(rows.withColumn("bytes", F.col("n") * PRINT_BYTES), limit).join(nodes.select("node", "fps", "hashes"), "node")
+    # A row of a bucket with several tiles, or a pair of several buckets, is told more than once.
+    return _by_tile(dealt, work, "key bigint, table int, a bigint, b bigint").distinct()
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, limit: int, least: float, threshold: float) -> DataFrame:
+    """`tile_links` of the open `rows` with their sets."""
+    sets = materialize(_sets_of(rows.select("node"), nodes, texts).withColumn("bytes", F.length("members")), "copies-sets")
+    bytes_ = rows.join(sets.select("node", "bytes"), "node").groupBy("key").agg(F.sum(F.col("bytes") + PRINT_BYTES).alias("bytes"))
+    sized = rows.join(_handed(materialize(bytes_, "copies-bytes")), "key")
+
+    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None) -> pa.RecordBatch:
+        found = tile_links(node, label, prints, hashes, half, tile.column("table")[0].as_py(), tile.column("members").to_pylist(), least, threshold)
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-
-def _open_blocks(shared: DataFrame, nodes: DataFrame, groups: DataFrame, limit: int) -> DataFrame | None:
-    """Arrays `rows` of (node, label, fps, hashes) that meet in a bucket still holding several of `groups`; null if none does."""
-    label = F.coalesce("component", "node").alias("label")
-    labelled = materialize(
-        shared.filter("n > 2").join(groups, "node", "left").select("key", "table", "node", "n", label), "copies-labelled"
-    )
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    split = materialize(split, "copies-split")
-    if split.isEmpty():
-        return None
-    blocks = F.ceil(F.col("n") * 2 / limit).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = labelled.join(_handed(split), "key").select(
-        "key", "table", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    )
-    rows = F.collect_list(F.struct("node", "label", "fps", "hashes")).alias("rows")
-    places = (F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return dealt.join(nodes.select("node", "fps", "hashes"), "node").groupBy("key", "table", *places).agg(rows)
+    dealt = tiles(sized, limit).join(nodes.select("node", "fps", "hashes"), "node").join(sets.select("node", "members"), "node")
+    return _by_tile(dealt, work, "a bigint, b bigint").distinct()
 
 
 def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
@@ -345,18 +352,17 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
         stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
         return connected_components(stars.unionByName(found), "a", "b")
 
-    blocks = _open_blocks(shared, nodes, joined, limit)
-    if blocks is None:
+    rows = _open(shared.filter("n > 2").select("key", "table", "node"), joined)
+    if rows is None:
         return joined
-    close = materialize(_forest(blocks, CLOSE_BITS, threshold - SLACK).join(tested, ["a", "b"], "left_anti"), "copies-close")
+    met = materialize(_searched(rows, nodes, limit, threshold - SLACK), "copies-met")
+    close = materialize(met.filter("key IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "copies-close")
     if not close.isEmpty():
         joined = more(_confirmed(close, nodes, texts, threshold))
-    blocks = _open_blocks(shared, nodes, joined, min(limit, SET_ROWS))
-    if blocks is None:
-        return joined
-    met = materialize(_met(blocks, MOST_BITS, threshold - SLACK), "copies-met")
-    if not met.isEmpty():
-        joined = more(materialize(_linked(met, nodes, texts, MOST_BITS, threshold - SLACK, threshold), "copies-links"))
+    # Labels only merge, so no row can have a candidate now that had none before.
+    rows = _open(met.filter("b IS NULL").select("key", "table", F.col("a").alias("node")), joined)
+    if rows is not None:
+        joined = more(materialize(_linked(rows, nodes, texts, min(limit, SET_ROWS), threshold - SLACK, threshold), "copies-links"))
     return joined
 
 
