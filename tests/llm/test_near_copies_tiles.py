@@ -21,7 +21,7 @@ def test_every_two_rows_meet_once(spark, n, size, most):
 
 
 def test_a_crowd_is_not_dealt_by_its_square(spark, monkeypatch):
-    """120 texts around the threshold in common buckets and blocks of four: a row is copied 16 times at most, and what whole buckets link is linked."""
+    """120 texts around the threshold in common buckets and blocks of two: a row is copied 16 times at most, and what whole buckets link is linked."""
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(1 << 40, size=600)]
     texts = []
@@ -40,7 +40,7 @@ def test_a_crowd_is_not_dealt_by_its_square(spark, monkeypatch):
 
     whole = sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect())
     assert 1 < len(whole) < len(texts)
-    monkeypatch.setattr(copies.links, "__defaults__", (copies.THRESHOLD, 8))
+    monkeypatch.setattr(copies.links, "__defaults__", (copies.THRESHOLD, 4))
     monkeypatch.setattr(type(docs), "mapInArrow", counted)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()) == whole
     assert max(dealt) == 16, dealt
