@@ -9,16 +9,18 @@ similarity, but it leaves one half of the text as it was, so texts that begin or
 over a quarter to a half of their length meet as well.  The fingerprints only propose: a
 link is confirmed by the exact similarity of the two sets of shingle hashes.
 
-Each text is first checked against its
-bucket's pivot.  Buckets that then still hold several components are searched once, for a
+A text of a crowd stands with much the same texts in most of its buckets, so the buckets
+that have the same pivot, their least node, are one group: a text is a row of a group once, with the tables
+in which they meet.  Each text is first checked against the pivot that it meets in most tables.
+Groups that then still hold several components are searched once, for a
 forest of the closest texts, which is checked, and for the rows that have any other pair to
-check; in what buckets are open after the forest these rows meet with their sets.  Both
+check; in what groups are open after the forest these rows meet with their sets.  Both
 leave out pairs whose similarity, estimated from the least shingle hashes of 256 ranges, is
-far under the threshold.  Pairs, whose number grows with the square of a group of texts that
-are all alike just under the threshold, are never rows: texts meet in tiles of a bucket, where
-only links are given.  A bucket is one tile while it is small; a larger one is dealt out in a
+far under the threshold.  Pairs, whose number grows with the square of a crowd of texts that
+are all alike just under the threshold, are never rows: texts meet in tiles of a group, where
+only links are given.  A group is one tile while it is small; a larger one is dealt out in a
 bounded number of blocks, every two of which are a tile, so a row is copied a bounded number
-of times.  The comparisons in the tiles still grow with the square of such a group.
+of times.  The comparisons in the tiles still grow with the square of such a crowd.
 """
 
 from __future__ import annotations
@@ -51,11 +53,11 @@ SLACK = 0.1
 LEAST_SEGMENT, LONGER = 8, 1.25
 #: Differing bits up to which a pair may stand in the forest that is checked before all others.
 CLOSE_BITS = 45
-#: Rows of a bucket compared in one task; of larger ones every two blocks meet.
+#: Rows of a group compared in one task; of larger ones every two blocks meet.
 BUCKET_ROWS = 2048
-#: Rows of a bucket whose sets of shingles meet in one task.
+#: Rows of a group whose sets of shingles meet in one task.
 SET_ROWS = 512
-#: Blocks of a bucket, and so copies of a row, unless two of them would hold more than TILE_BYTES.
+#: Blocks of a group, and so copies of a row, unless two of them would hold more than TILE_BYTES.
 MOST_BLOCKS = 16
 TILE_BYTES = 64 << 20
 #: Bytes of a text's fingerprints and least hashes.
@@ -64,6 +66,8 @@ PRINT_BYTES = PRINTS * BITS // 8 + BINS
 CHUNK = 1 << 13
 
 _MASKS = np.array(covering_masks((1 << BITS) - 1, RADIUS), np.uint64)
+#: Number of the table of equal ends, after all of the fingerprints'.
+ENDS = PRINTS * len(_MASKS)
 _MIX = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -184,10 +188,16 @@ def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y) & either).sum(axis=-1) / np.maximum(either.sum(axis=-1), 1)
 
 
-def met_before(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
-    """Whether fingerprints also meet in a table before this one; before the buckets of ends (table -1) stand all tables."""
-    meet = ((x ^ y)[..., None] & _MASKS == 0).reshape(len(x), PRINTS * len(_MASKS))
-    return (meet if table < 0 else meet[:, :table]).any(axis=1)
+def first_met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first table in which fingerprints meet, that of equal ends if there is none."""
+    meet = ((x ^ y)[..., None] & _MASKS == 0).reshape(len(x), ENDS)
+    return np.where(meet.any(axis=1), meet.argmax(axis=1), ENDS)
+
+
+def told_here(x: np.ndarray, y: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Whether the first table in which fingerprints meet is one of this group; `met` are the bits of the tables that both have in it."""
+    table = first_met(x, y)
+    return met[np.arange(len(met)), table >> 6] >> (table & 63).astype(np.uint64) & np.uint64(1) > 0
 
 
 def candidates(label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -204,9 +214,9 @@ def candidates(label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half:
 
 
 def tile_search(
-    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, table: int, least: float
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, met: np.ndarray, half: int | None, least: float
 ) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A forest (a, b), a < b, of the candidates of one tile within CLOSE_BITS, and the rows with a candidate that does not meet them in a table before.
+    """A forest (a, b), a < b, of the candidates of one tile within CLOSE_BITS, and the rows with a candidate that is told here.
 
     A pair joins its labels in the forest, so there are fewer pairs than labels.
     """
@@ -220,19 +230,19 @@ def tile_search(
             out += [(min(node[i], node[j]), max(node[i], node[j])) for j in close[first]]
         if mark[i]:
             at = at[~mark[at]]
-        at = at[~met_before(prints[at], prints[i], table)]
+        at = at[told_here(prints[at], prints[i], met[at] & met[i])]
         mark[at] = True
         mark[i] |= len(at) > 0
     return out, mark
 
 
 def tile_links(
-    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None, table: int, members: list[bytes], least: float, threshold: float
+    node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, met: np.ndarray, half: int | None, members: list[bytes], least: float, threshold: float
 ) -> list[tuple[int, int]]:
-    """Links (a, b) of one tile: candidates that do not meet in a table before and whose sets are alike; a link joins its labels."""
+    """Links (a, b) of one tile: candidates that are told here and whose sets are alike; a link joins its labels."""
     label, out = label.copy(), []
     for i, at in candidates(label, prints, hashes, half, least):
-        for j in at[~met_before(prints[at], prints[i], table)]:
+        for j in at[told_here(prints[at], prints[i], met[at] & met[i])]:
             if label[j] != label[i] and alike(members[i], members[j], threshold):
                 label[label == label[j]] = label[i]
                 out.append((node[i], node[j]))
@@ -240,18 +250,18 @@ def tile_links(
 
 
 def _open(rows: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """(key, table, node, label, n) of the buckets of `rows(key, table, node)` whose n rows are of several of `groups`; null if none is."""
+    """(key, node, early, late, label, n) of the `rows(key, node, early, late)` of every key whose n rows are of several of `groups`; null if none is."""
     label = F.coalesce("component", "node").alias("label")
-    labelled = materialize(rows.join(groups, "node", "left").select("key", "table", "node", label), "copies-labelled")
+    labelled = materialize(rows.join(groups, "node", "left").select("key", "node", "early", "late", label), "copies-labelled")
     split = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     split = materialize(split.select("key", "n"), "copies-split")
     return None if split.isEmpty() else labelled.join(_handed(split), "key")
 
 
 def tiles(rows: DataFrame, limit: int) -> DataFrame:
-    """`rows(key, node, n, bytes, ...)` dealt to the tiles (key, lo, hi) of their bucket, which has n rows of so many bytes; `own` is a row's block.
+    """`rows(key, node, n, bytes, ...)` dealt to the tiles (key, lo, hi) of their group, which has n rows of so many bytes; `own` is a row's block.
 
-    Every two rows of a bucket meet in a tile: one of both blocks, or of the block that both are in.
+    Every two rows of a group meet in a tile: one of both blocks, or of the block that both are in.
     """
     blocks = F.greatest(F.least(F.ceil(F.col("n") * 2 / limit), F.lit(MOST_BLOCKS)), F.ceil(F.col("bytes") * 2 / TILE_BYTES)).cast("int")
     small, none = (F.col("n") <= limit) & (F.col("bytes") <= TILE_BYTES), F.lit(0)
@@ -262,7 +272,7 @@ def tiles(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def _by_tile(rows: DataFrame, work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    """`work` on every tile of `rows`, which are read as a stream of tiles; it gets the tile as a table, (node, label, prints, hashes) and where its second block begins."""
+    """`work` on every tile of `rows`, which are read as a stream of tiles; it gets the tile as a table, (node, label, prints, hashes, met) and where its second block begins."""
     spark = rows.sparkSession
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
 
@@ -271,7 +281,8 @@ def _by_tile(rows: DataFrame, work: Callable[..., pa.RecordBatch], schema: str)
         node, label, own = (whole.column(c).to_numpy() for c in ("node", "label", "own"))
         prints, hashes = (whole.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("fps", "hashes"))
         lo, hi = (whole.column(c)[0].as_py() for c in ("lo", "hi"))
-        arrays = (node, label, prints.view(np.uint64).reshape(-1, PRINTS), np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, BINS))
+        met = np.stack([whole.column(c).to_numpy() for c in ("early", "late")], axis=1).view(np.uint64)
+        arrays = (node, label, prints.view(np.uint64).reshape(-1, PRINTS), np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, BINS), met)
         return work(whole, *arrays, None if lo == hi else int((own == lo).sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,54 +303,64 @@ def _by_tile(rows: DataFrame, work: Callable[..., pa.RecordBatch], schema: str)
 
 
 def _searched(rows: DataFrame, nodes: DataFrame, limit: int, least: float) -> DataFrame:
-    """`tile_search` of the open `rows`: (a, b) with a null key for the forest, (key, table, a) with a null b for the rows with other candidates."""
+    """`tile_search` of the open `rows`: (a, b) with a null key for the forest, (key, a, early, late) with a null b for the rows with other candidates."""
 
-    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None) -> pa.RecordBatch:
-        key, table = (tile.column(c)[0].as_py() for c in ("key", "table"))
-        forest, mark = tile_search(node, label, prints, hashes, half, table, least)
-        pairs, found = np.array(forest, np.int64).reshape(-1, 2), node[mark]
-        left = [pa.nulls(len(pairs)), pa.nulls(len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-        right = [pa.array([key] * len(found)), pa.array([table] * len(found)), pa.array(found), pa.nulls(len(found))]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        columns = [pa.concat_arrays([x.cast(kind), y.cast(kind)]) for x, y, kind in zip(left, right, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "table", "a", "b"])
+    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, met: np.ndarray, half: int | None) -> pa.RecordBatch:
+        forest, mark = tile_search(node, label, prints, hashes, met, half, least)
+        pairs, found = np.array(forest, np.int64).reshape(-1, 2), tile.filter(pa.array(mark))
+        none, names = pa.nulls(len(pairs), pa.int64()), ["key", "a", "b", "early", "late"]
+        left = [none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none]
+        right = [found.column("key"), found.column("node"), pa.nulls(len(found), pa.int64()), found.column("early"), found.column("late")]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(left, right, strict=True)], names)
 
-    dealt = tiles(rows.withColumn("bytes", F.col("n") * PRINT_BYTES), limit).join(nodes.select("node", "fps", "hashes"), "node")
-    # A row of a bucket with several tiles, or a pair of several buckets, is told more than once.
-    return _by_tile(dealt, work, "key bigint, table int, a bigint, b bigint").distinct()
+    dealt = tiles(rows.withColumn("bytes", F.col("n") * PRINT_BYTES).join(nodes.select("node", "fps", "hashes"), "node"), limit)
+    # A row of a group with several tiles, or a pair of several groups, is told more than once.
+    return _by_tile(dealt, work, "key bigint, a bigint, b bigint, early bigint, late bigint").distinct()
 
 
 def _linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame, limit: int, least: float, threshold: float) -> DataFrame:
     """`tile_links` of the open `rows` with their sets."""
-    sets = materialize(_sets_of(rows.select("node"), nodes, texts).withColumn("bytes", F.length("members")), "copies-sets")
+    rows = materialize(rows, "copies-open")
+    sets = _sets_of(rows.select("node"), nodes, texts).join(nodes.select("node", "fps", "hashes"), "node")
+    sets = materialize(sets.withColumn("bytes", F.length("members")), "copies-sets")
     bytes_ = rows.join(sets.select("node", "bytes"), "node").groupBy("key").agg(F.sum(F.col("bytes") + PRINT_BYTES).alias("bytes"))
     sized = rows.join(_handed(materialize(bytes_, "copies-bytes")), "key")
 
-    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, half: int | None) -> pa.RecordBatch:
-        found = tile_links(node, label, prints, hashes, half, tile.column("table")[0].as_py(), tile.column("members").to_pylist(), least, threshold)
+    def work(tile: pa.RecordBatch, node: np.ndarray, label: np.ndarray, prints: np.ndarray, hashes: np.ndarray, met: np.ndarray, half: int | None) -> pa.RecordBatch:
+        found = tile_links(node, label, prints, hashes, met, half, tile.column("members").to_pylist(), least, threshold)
         ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    dealt = tiles(sized, limit).join(nodes.select("node", "fps", "hashes"), "node").join(sets.select("node", "members"), "node")
+    dealt = tiles(sized.join(sets.drop("bytes"), "node"), limit)
     return _by_tile(dealt, work, "a bigint, b bigint").distinct()
 
 
-def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
-    """(node, component) of the nodes of `nodes(node, least, fps, hashes, ends)` that have a near copy; component is the least of its group."""
+def grouped(nodes: DataFrame) -> DataFrame:
+    """(key, node, early, late) of the texts that share a bucket: `key` is the least node of a bucket, and a node is in a row with it once.
+
+    `early` and `late` are the bits of the tables, 64 each, in which that is the least node of its bucket.
+    """
     masks = covering_masks((1 << BITS) - 1, RADIUS)
-    tables = F.explode(F.sequence(F.lit(0), F.lit(PRINTS * len(masks) - 1))).alias("table")
+    tables = F.explode(F.sequence(F.lit(0), F.lit(ENDS - 1))).alias("table")
     spread = nodes.filter("fps IS NOT NULL").select("node", "fps", tables)
     masked = F.get("fps", F.expr(f"cast(table div {len(masks)} as int)")).bitwiseAND(F.get(_long_array(masks), F.col("table") % len(masks)))
     # One exchange serves the buckets' sizes and their rows; a hot group's rows are spread over all tables.
-    met = spread.select("node", "table", F.xxhash64("table", masked).alias("key"))
-    alike = nodes.filter("fps IS NOT NULL").select("node", F.explode("ends").alias("end")).select("node", F.lit(-1).alias("table"), F.xxhash64(F.lit(-1), "end").alias("key"))
-    keyed = met.unionByName(alike).repartition("key")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    shared = materialize(keyed.join(sizes, "key"), "copies-shared")
+    met = spread.select("node", "table", F.xxhash64("table", masked).alias("bucket"))
+    alike = nodes.filter("fps IS NOT NULL").select("node", F.explode("ends").alias("end")).select("node", F.lit(ENDS).alias("table"), F.xxhash64(F.lit(ENDS), "end").alias("bucket"))
+    dealt = met.unionByName(alike).repartition("bucket")
+    least = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("key")).filter("n > 1")
+    bits = [F.bit_or(F.expr(f"if(table div 64 = {k}, shiftleft(1L, table % 64), 0L)")).alias(name) for k, name in enumerate(("early", "late"))]
+    return dealt.join(least, "bucket").groupBy("key", "node").agg(*bits)
+
+
+def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
+    """(node, component) of the nodes of `nodes(node, least, fps, hashes, ends)` that have a near copy; component is the least of its group."""
+    rows = materialize(grouped(nodes), "copies-shared")
     prints = _handed(nodes.select("node", "fps"))
     near = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d) <= MOST_BITS
+    most = F.max_by("key", F.struct(F.bit_count("early") + F.bit_count("late"), "key")).alias("a")
     pairs = (
-        shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        rows.filter("node <> key").groupBy(F.col("node").alias("b")).agg(most)
         .join(prints.withColumnsRenamed({"node": "a", "fps": "x"}), "a")
         .join(prints.withColumnsRenamed({"node": "b", "fps": "y"}), "b")
         .filter(near).select("a", "b")
@@ -352,7 +373,7 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
         stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
         return connected_components(stars.unionByName(found), "a", "b")
 
-    rows = _open(shared.filter("n > 2").select("key", "table", "node"), joined)
+    rows = _open(rows, joined)
     if rows is None:
         return joined
     met = materialize(_searched(rows, nodes, limit, threshold - SLACK), "copies-met")
@@ -360,7 +381,7 @@ def links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limi
     if not close.isEmpty():
         joined = more(_confirmed(close, nodes, texts, threshold))
     # Labels only merge, so no row can have a candidate now that had none before.
-    rows = _open(met.filter("b IS NULL").select("key", "table", F.col("a").alias("node")), joined)
+    rows = _open(met.filter("b IS NULL").select("key", F.col("a").alias("node"), "early", "late"), joined)
     if rows is not None:
         joined = more(materialize(_linked(rows, nodes, texts, min(limit, SET_ROWS), threshold - SLACK, threshold), "copies-links"))
     return joined
